@@ -73,6 +73,17 @@ def _edge_rows(rows: DataFrame, s: Series, k: int, side: str) -> DataFrame:
     return carried.select(*keep, F.col(s.block), F.lit(True).alias(HALO))
 
 
+def _single_edges(rows: DataFrame, s: Series, before: bool, after: bool) -> DataFrame:
+    """The one-row case of :func:`_edge_rows` for both sides from a single partial aggregation."""
+    packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(s.order)], F.struct(*rows.columns).alias("row"))
+    ends = rows.groupBy(*s.part).agg(F.min(packed).alias("_first"), F.max(packed).alias("_last"))
+    chain = Window.partitionBy(*s.keys).orderBy(s.block)
+    sides = ([F.lag("_last.row").over(chain)] if before else []) + ([F.lead("_first.row").over(chain)] if after else [])
+    carried = ends.select(*s.part, F.array(*sides).alias("_near")).select(*s.part, F.explode("_near").alias("_e"))
+    keep = [F.col("_e")[c].alias(c) for c in rows.columns if c != s.block]
+    return carried.filter(F.col("_e").isNotNull()).select(*keep, F.col(s.block), F.lit(True).alias(HALO))
+
+
 def with_halo(df: DataFrame, s: Series, before: int = 1, after: int = 0) -> DataFrame:
     """Blocks plus copies of the neighbouring edge rows, flagged in ``_halo``.
 
@@ -81,6 +92,8 @@ def with_halo(df: DataFrame, s: Series, before: int = 1, after: int = 0) -> Data
     """
     rows = s.stamp(df)
     parts = [rows.withColumn(HALO, F.lit(False))]
+    if max(before, after) == 1:
+        return parts[0].unionByName(_single_edges(rows, s, before == 1, after == 1))
     if before:
         parts.append(_edge_rows(rows, s, before, "before"))
     if after:
@@ -179,8 +192,12 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
 
     def advance(todo: DataFrame) -> DataFrame:
         live = rows.join(todo.select(*part), part, "left_semi")
-        return (live.groupBy(*part).cogroup(todo.groupBy(*part))
-                .applyInPandas(states_fn, f"{key_ddl}, used string, state string"))
+        return paired(live, todo).applyInPandas(states_fn, f"{key_ddl}, used string, state string")
+
+    def paired(a: DataFrame, b: DataFrame):
+        # a fixed partition count: adaptive coalescing looks at bytes and would put all Python work in one task
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return a.repartition(n, *part).groupBy(*part).cogroup(b.repartition(n, *part).groupBy(*part))
 
     chain = Window.partitionBy(*s.keys).orderBy(s.block)
     blocks = cut(rows.groupBy(*part).count().select(*part, F.lead(s.block).over(chain).alias("_next")))
@@ -188,12 +205,15 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
     feeds = blocks.filter(F.col("_next").isNotNull())
     states = None
     todo = feeds.select(*part, F.lit(start).alias("used"))
+    rounds = 0
     while not todo.isEmpty():
         fresh = cut(advance(todo))
-        kept = states.join(fresh.select(*part), part, "left_anti") if states is not None else None
-        states = fresh if kept is None else cut(kept.unionByName(fresh))
+        if states is not None:
+            fresh = states.join(fresh.select(*part), part, "left_anti").unionByName(fresh)
+        rounds += 1
+        states = cut(fresh) if rounds % 8 == 0 else fresh  # the pieces are cut already; keep the plan short
         handed = (states.join(feeds, part).select(*s.keys, F.col("_next").alias(s.block), F.col("state").alias("_in")))
-        todo = cut(states.join(handed, part, "left")
+        todo = cut(states.select(*part, "used").join(handed, part, "left")
                    .select(*part, F.coalesce("_in", F.lit(start)).alias("_want"), "used")
                    .filter(F.col("_want") != F.col("used"))
                    .select(*part, F.col("_want").alias("used")))
@@ -203,4 +223,4 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
         handed = states.join(feeds, part).select(
             *s.keys, F.col("_next").alias(s.block), F.col("state").alias("used"))
         final = blocks.join(handed, part, "left").select(*part, F.coalesce("used", F.lit(start)).alias("used"))
-    return rows.groupBy(*part).cogroup(final.groupBy(*part)).applyInPandas(output_fn, out_schema)
+    return paired(rows, final).applyInPandas(output_fn, out_schema)

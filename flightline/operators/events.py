@@ -13,6 +13,7 @@ from flightline.functions import clock
 from flightline.functions.geometry import dilate, dist, inside_polygon
 from flightline.operators.blocks import Series, islands, neighbours, running, scan_blocks
 from flightline.operators.joins import point_in_interval
+from flightline.runtime import cut
 
 
 @dataclass(frozen=True)
@@ -75,44 +76,42 @@ def run_features(runs: DataFrame, s: Series, g: Gates, zone: Sequence[tuple[Colu
     # prev_* are null at the first point of a run, so no speed is measured across runs
     speed = F.when(gap > 0, (F.col("y") - F.col("prev_y")) / gap)
     hit_zone = inside_polygon(dilate(zone, g.zone_grow), F.col("x"), F.col("y")) if zone else F.lit(False)
-    last3 = F.struct(*s.order)
-    rows = runs.withColumns({"_d": dist(F.col("x"), F.col("y"), rcx, rcy), "_rw": rw, "_in": hit_zone, "_v": speed})
-    # the three newest points by three nested maxima, which combine before the shuffle
-    pt = F.struct(last3.alias("o"), F.col("_d").alias("d"))
+    d = dist(F.col("x"), F.col("y"), rcx, rcy)
+    # nearest of this point and the two before it in the run; read off at the run's last point
+    tail = F.least(d, dist(F.col("prev_x"), F.col("prev_y"), rcx, rcy), dist(F.col("prev2_x"), F.col("prev2_y"), rcx, rcy))
+    rows = runs.withColumns({"_d": d, "_rw": rw, "_in": hit_zone, "_v": speed, "_tail": tail})
     agg = rows.groupBy(*s.keys, "run_id").agg(
         F.count("*").alias("n"), F.min(s.time).alias("t0"), F.max(s.time).alias("t1"), F.min_by(s.seq, order).alias("seq0"),
         F.min_by("y", order).alias("y0"), F.max_by("y", order).alias("y1"), F.min("y").alias("y_min"),
         F.max("y").alias("y_max"), F.max("_v").alias("peak_speed"), F.min_by("_d", order).alias("d0"),
         F.min("_d").alias("d_min"), F.max("_rw").alias("rw"), F.max("conf").alias("peak_conf"),
-        F.bool_or("_in").alias("in_zone"), F.max(pt).alias("_p1"), F.max(F.when(F.col("_back") >= 1, pt)).alias("_p2"),
-        F.max(F.when(F.col("_back") >= 2, pt)).alias("_p3"))
-    near = F.least(F.col("_p1.d"), F.col("_p2.d"), F.col("_p3.d"))
+        F.bool_or("_in").alias("in_zone"), F.max_by("_tail", order).alias("_near"))
     return agg.withColumns({
-        "end_near": near / F.col("rw"),
+        "end_near": F.col("_near") / F.col("rw"),
         "through_ring": (F.col("d_min") / F.col("rw") <= g.ring_near) & (F.col("y_max") - F.col("y_min") >= g.ring_fall),
-    }).drop("_p1", "_p2", "_p3")
+    }).drop("_near")
 
 
 def mark_runs(points: DataFrame, s: Series, max_gap: float, jitter: float) -> DataFrame:
-    """Descent runs with what the features need: prev_* inside the run, and how many run points follow (0, 1, 2+)."""
-    rows = neighbours(points, s, {"_pt": (s.time, -1), "_py": ("y", -1), "_nt": (s.time, 1), "_ny": ("y", 1),
-                                  "_nt2": (s.time, 2), "_ny2": ("y", 2)})
+    """Descent runs with what the features need: up to two earlier points of the same run beside each point."""
+    rows = neighbours(points, s, {"_t1": (s.time, -1), "_y1": ("y", -1), "_x1": ("x", -1),
+                                  "_t2": (s.time, -2), "_y2": ("y", -2), "_x2": ("x", -2)})
 
     def breaks(t0: Column, y0: Column, t1: Column, y1: Column) -> Column:
-        return t0.isNull() | t1.isNull() | (t1 - t0 > F.lit(max_gap)) | (y1 < y0 - F.lit(jitter))
+        return t0.isNull() | (t1 - t0 > F.lit(max_gap)) | (y1 < y0 - F.lit(jitter))
 
-    t, y = F.col(s.time), F.col("y")
-    starts = breaks(F.col("_pt"), F.col("_py"), t, y)
-    end1 = breaks(t, y, F.col("_nt"), F.col("_ny"))
-    end2 = breaks(F.col("_nt"), F.col("_ny"), F.col("_nt2"), F.col("_ny2"))
+    starts = breaks(F.col("_t1"), F.col("_y1"), F.col(s.time), F.col("y"))
+    before = starts | breaks(F.col("_t2"), F.col("_y2"), F.col("_t1"), F.col("_y1"))
     rows = rows.withColumns({
-        "prev_t": F.when(~starts, F.col("_pt")), "prev_y": F.when(~starts, F.col("_py")),
-        "_back": F.when(end1, 0).when(end2, 1).otherwise(2)})
-    return islands(rows, s, F.col("prev_t").isNull(), "run_id").drop("_pt", "_py", "_nt", "_ny", "_nt2", "_ny2")
+        "prev_t": F.when(~starts, F.col("_t1")), "prev_y": F.when(~starts, F.col("_y1")),
+        "prev_x": F.when(~starts, F.col("_x1")), "prev2_y": F.when(~before, F.col("_y2")),
+        "prev2_x": F.when(~before, F.col("_x2"))})
+    return islands(rows, s, F.col("prev_t").isNull(), "run_id").drop("_t1", "_y1", "_x1", "_t2", "_y2", "_x2")
 
 
 def add_window_top(features: DataFrame, hits: DataFrame, s: Series, g: Gates, width: float) -> DataFrame:
     """Highest sighting of the whole site from ``lookback`` before the run's start to its end."""
+    features = cut(features)  # one row per run; both sides of the join below start from it
     spans = features.select(*s.keys, "run_id", (F.col("t0") - g.lookback).alias("_lo"), F.col("t1").alias("_hi"))
     slim = hits.select(*s.keys, s.time, "y")
     top = point_in_interval(slim, spans, s.keys, s.time, "_lo", "_hi", width).groupBy(*s.keys, "run_id").agg(
@@ -148,6 +147,7 @@ def _merge(df: DataFrame, by: Sequence[str], end: Column) -> DataFrame:
 
 def bounce_merge(kept: DataFrame, keys: Sequence[str], gap: float, width: float) -> DataFrame:
     """Join runs of one track whose pause, end to start, is at most ``gap``: a plain chain."""
+    kept = cut(kept)  # few rows by now, and read several times below
     s = Series(tuple(keys), "t0", "seq0", width, "_rb")
     rows = neighbours(kept, s, {"_pend": ("t1", -1)})
     rows = islands(rows, s, F.col("_pend").isNull() | (F.col("t0") - F.col("_pend") > F.lit(gap)), "event_id")
@@ -169,6 +169,7 @@ def near_merge(events: DataFrame, video: Sequence[str], site: str, near: float,
     Compared with the event's first start, which never moves, so an event cannot grow step by step; a call at
     another site in between ends it.  Returns the events with ``merged_id`` (time and seq of the anchor).
     """
+    events = cut(events)
     s = Series(tuple(video), "t0", "seq0", width, "_mb")
     slim = events.select(*video, site, "t0", "t1", "seq0")
 
@@ -208,6 +209,7 @@ def approach_gate(events: DataFrame, g: Gates) -> DataFrame:
 
 def event_windows(events: DataFrame, keys: Sequence[str], g: Gates, width: float) -> DataFrame:
     """Clip bounds: trimmed against neighbours of the same site, the outcome always kept on screen."""
+    events = cut(events)
     s = Series(tuple(keys), "t0", "seq0", width, "_wb")
     rows = neighbours(events, s, {"_pend": ("t1", -1), "_next": ("t0", 1)})
     t0, t1 = F.col("t0"), F.col("t1")
@@ -220,6 +222,7 @@ def event_windows(events: DataFrame, keys: Sequence[str], g: Gates, width: float
 
 def event_index(events: DataFrame, video: Sequence[str], site: str, width: float) -> DataFrame:
     """The published rows: numbered per recording in time order."""
+    events = cut(events)
     s = Series(tuple(video), "t0", "seq0", width, "_ib")
     rows = running(events, s, {"_n": ("sum", F.lit(1).cast("long"))})
     return rows.select(
