@@ -53,8 +53,8 @@ def compare(spark, con, folder, name, fn, sql):
     if huge:
         return False, len(got_rows), f"wide SQL types in {huge}"
     if got_rows != want_rows:
-        extra = [r for r in got_rows if r not in set(want_rows)][:2]
-        lack = [r for r in want_rows if r not in set(got_rows)][:2]
+        have, want = set(got_rows), set(want_rows)
+        extra, lack = sorted(have - want, key=repr)[:2], sorted(want - have, key=repr)[:2]
         return False, len(got_rows), f"rows {len(got_rows)} vs {len(want_rows)}; spark {extra} sql {lack}"
     return True, len(got_rows), "ok"
 
