@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1024
+UPPER_MEDIAN = "upper"  # the element at n // 2, which is not the median of an even count
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], bins: int = BINS) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float | str], bins: int = BINS) -> DataFrame:
     """One row per group with linearly interpolated quantiles, e.g. ``{"med": 0.5}``, and the count ``n``."""
     k = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
@@ -30,7 +31,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
     per_bin = per_bin.withColumn("_start", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
     ranks = {}
     for name, q in wanted.items():
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        pos = F.floor(F.col("_n") / 2) * 1.0 if q == UPPER_MEDIAN else F.lit(float(q)) * (F.col("_n") - 1)
         ranks[name] = (F.floor(pos), F.ceil(pos), pos - F.floor(pos))
     holds = reduce(lambda a, b: a | b, [
         (r >= F.col("_start")) & (r < F.col("_start") + F.col("_bc")) for lo, hi, _ in ranks.values() for r in (lo, hi)])

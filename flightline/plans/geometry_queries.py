@@ -135,7 +135,7 @@ def p06(spark, sf):
     return rigged(spark, sf).select(*ID, call.alias("is_three"))
 
 
-@query("p07_line_margin", f"""WITH {RIG} SELECT {ID_SQL}, round(abs(w*(y-ry1)-(h*2)*(x-10))/sqrt(w*w+(h*2)*(h*2))/12, 6) AS margin FROM rig""")
+@query("p07_line_margin", f"""WITH {RIG} SELECT {ID_SQL}, round(abs(((10.0::DOUBLE+w)-10.0::DOUBLE)*(y-ry1)-((ry1+h*2)-ry1)*(x-10.0::DOUBLE))/sqrt((10.0::DOUBLE-(10.0::DOUBLE+w))*(10.0::DOUBLE-(10.0::DOUBLE+w))+(ry1-(ry1+h*2))*(ry1-(ry1+h*2)))/12.0::DOUBLE, 6) AS margin FROM rig""")
 def p07(spark, sf):
     c = F.col
     p, q = (geo.num(10), c("ry1")), (geo.num(10) + c("w"), c("ry1") + c("h") * 2)
@@ -248,8 +248,8 @@ def p13(spark, sf):
     return direction_families(edges, ["video"], "ang", "len", ["eid", "part"]).select(*ID, "along")
 
 
-@query("p14_axis_offsets", f"""WITH {RIG} SELECT {ID_SQL}, round(((x-(rx1+rx2)/2)*0.8+(y-30)*0.6)/12, 6) AS along_off,
-  round(((x-(rx1+rx2)/2)*(-0.6)+(y-30)*0.8)/12, 6) AS into_off FROM rig""")
+@query("p14_axis_offsets", f"""WITH {RIG} SELECT {ID_SQL}, round(((x-(rx1+rx2)/2)*0.8::DOUBLE+(y-30)*0.6::DOUBLE)/12, 6) AS along_off,
+  round(((x-(rx1+rx2)/2)*(-0.6::DOUBLE)+(y-30)*0.8::DOUBLE)/12, 6) AS into_off FROM rig""")
 def p14(spark, sf):
     c = F.col
     o = ((c("rx1") + c("rx2")) / 2, geo.num(30))
@@ -259,9 +259,10 @@ def p14(spark, sf):
     return rigged(spark, sf).select(*ID, r(a).alias("along_off"), r(i).alias("into_off"))
 
 
-@query("p15_view_transform", f"""WITH {RIG} SELECT {ID_SQL}, round((x-w*0.28)/3840*100, 6) AS px, round((y-h*0.28)/2160*100, 6) AS py,
-  round((w+2*w*0.28)/3840*100, 6) AS pw, round((h+2*h*0.28)/2160*100, 6) AS ph,
-  round(greatest(0, x-h*0.18), 6) AS cx1, round(least(50, x+w+h*0.18), 6) AS cx2,
+@query("p15_view_transform", f"""WITH {RIG} SELECT {ID_SQL}, round((x-((x+w)-x)*0.28::DOUBLE)/3840*100, 6) AS px, round((y-((y+h)-y)*0.28::DOUBLE)/2160*100, 6) AS py,
+  round((((x+w)+((x+w)-x)*0.28::DOUBLE)-(x-((x+w)-x)*0.28::DOUBLE))/3840*100, 6) AS pw,
+  round((((y+h)+((y+h)-y)*0.28::DOUBLE)-(y-((y+h)-y)*0.28::DOUBLE))/2160*100, 6) AS ph,
+  round(greatest(0, x-((y+h)-y)*0.18::DOUBLE), 6) AS cx1, round(least(50, x+w+((y+h)-y)*0.18::DOUBLE), 6) AS cx2,
   round((x-rx1)*(640/12.0::DOUBLE), 6) AS vx, round((y-ry1)*(360/8.0::DOUBLE), 6) AS vy FROM rig""")
 def p15(spark, sf):
     c = F.col

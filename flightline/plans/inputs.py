@@ -97,4 +97,6 @@ def d(x: float) -> Column:
 
 
 def r(c: Column, places: int = 6) -> Column:
-    return F.round(c, places)
+    """Round half away from zero on the binary value, the way most SQL engines do it for doubles."""
+    m = F.lit(float(10**places))
+    return F.signum(c) * (F.floor(F.abs(c) * m + 0.5) / m)
