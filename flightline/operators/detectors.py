@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightline.operators.quantiles import quantiles
+
 
 def recall_at(labels: DataFrame, boxes: DataFrame, image: str, order: Sequence[str], confs: Sequence[float],
               reach: float) -> DataFrame:
@@ -16,33 +17,27 @@ def recall_at(labels: DataFrame, boxes: DataFrame, image: str, order: Sequence[s
     Labels in order each take the nearest unused box within ``reach`` widths.  Images are independent and hold
     a detector's output for one picture, so an image is a group.
     """
-    cols = [image, *order, "y", "w"]
-    cols = list(dict.fromkeys([*cols, "x"]))
-    both = labels.select(*cols, F.lit(1.0).alias("conf"), F.lit(True).alias("is_label")).unionByName(
-        boxes.select(*cols, "conf", F.lit(False).alias("is_label")))
-    kind = labels.schema[image].dataType.simpleString()
-
-    def per_image(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        lab, det = rows[rows["is_label"]], rows[~rows["is_label"]]
-        out = []
-        for c in confs:
-            free = [tuple(v) for v in det.loc[det["conf"] >= c, ["x", "y"]].to_numpy()]
-            errs = []
-            for x, y, w in lab[["x", "y", "w"]].to_numpy():
-                if not free:
-                    break
-                dists = [((bx - x) ** 2 + (by - y) ** 2) ** 0.5 / max(w, 1e-9) for bx, by in free]
-                k = min(range(len(free)), key=dists.__getitem__)
-                if dists[k] <= reach:
-                    errs.append(float(dists[k]))
-                    free.pop(k)
-            out.append((rows[image].iloc[0], c, len(errs), len(lab), len(free), errs))
-        return pd.DataFrame(out, columns=[image, "conf", "hits", "labels", "false_boxes", "errs"])
-
-    per = both.groupBy(image).applyInPandas(
-        per_image, f"{image} {kind}, conf double, hits long, labels long, false_boxes long, errs array<double>")
-    from flightline.operators.quantiles import quantiles
+    lab = labels.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("x").alias("px"), "y", "w"))).alias("_l"))
+    det = boxes.groupBy(image).agg(F.array_sort(F.collect_list(
+        F.struct(*order, F.col("x").alias("px"), "y", F.col("conf").alias("bc")))).alias("_d"))
+    level = F.explode(F.array(*[F.lit(float(c)) for c in confs]))
+    rows = lab.join(det, image, "left").select("*", level.alias("conf"))
+    rows = rows.withColumn("_b", F.filter(F.coalesce("_d", F.array().cast(det.schema["_d"].dataType)), lambda b: b["bc"] >= F.col("conf")))
+
+    def take(state: Column, label: Column) -> Column:
+        # indexes carried in the state are the boxes already claimed
+        far = F.transform(F.col("_b"), lambda b, i: F.struct(
+            (F.sqrt(F.pow(b["px"] - label["px"], 2) + F.pow(b["y"] - label["y"], 2)) / F.greatest(label["w"], F.lit(1e-9))).alias("d"),
+            i.cast("int").alias("i")))
+        best = F.array_min(F.filter(far, lambda f: ~F.array_contains(state["used"], f["i"])))
+        ok = F.coalesce(best["d"] <= reach, F.lit(False))
+        return F.struct(F.when(ok, F.array_append(state["used"], best["i"])).otherwise(state["used"]).alias("used"),
+                        F.when(ok, F.array_append(state["errs"], best["d"])).otherwise(state["errs"]).alias("errs"))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<double>").alias("errs"))
+    rows = rows.withColumn("_s", F.aggregate("_l", start, take))
+    per = rows.select("conf", F.size("_s.errs").alias("hits"), F.size("_l").alias("labels"),
+                      (F.size("_b") - F.size("_s.errs")).alias("false_boxes"), F.col("_s.errs").alias("errs"))
     totals = per.groupBy("conf").agg(F.sum("hits").alias("hits"), F.sum("labels").alias("labels"), F.sum("false_boxes").alias("false_boxes"))
     med = quantiles(per.select("conf", F.explode("errs").alias("e")), ["conf"], "e", {"median_error": 0.5}).select("conf", "median_error")
     return totals.join(med, "conf", "left")

@@ -274,7 +274,7 @@ def e04(spark, sf):
 @query("e05_two_gate_grid", f"""WITH RECURSIVE {FLAGS}, g AS (SELECT *, (fall%100)/100 AS closed, (call%40)/10.0::DOUBLE AS nearest FROM flags),
 a AS (SELECT unnest(range(0, 100, 5))/100.0::DOUBLE AS c), b AS (SELECT unnest(range(0, 40, 2))/10.0::DOUBLE AS n),
 k AS (SELECT c, n, count(*) FILTER (real AND (closed>=c OR nearest<=n)) AS tp, count(*) FILTER (NOT real AND (closed>=c OR nearest<=n)) AS fp FROM g, a, b GROUP BY ALL),
-s AS (SELECT *, (SELECT count(*) FROM marks) AS total, {PRF_SQL} FROM k),
+tt AS (SELECT count(*) AS total FROM marks), s AS (SELECT *, {PRF_SQL} FROM k, tt),
 f AS (SELECT *, 2*rec*prec/greatest(1e-9, rec+prec) AS f1 FROM s)
 SELECT c, n, tp, fp, round(f1, 6) AS f1, row_number() OVER (ORDER BY round(f1, 12) DESC, c, n)=1 AS best FROM f""")
 def e05(spark, sf):
