@@ -30,9 +30,9 @@ def b01(spark, sf):
     return out.select("ball", "person", "frame", r(F.col("d2"), 4).alias("d2"))
 
 
-@query("b02_lift_and_gap", f"""WITH {POSE}, q AS (SELECT *, greatest(12.0::DOUBLE, sn) AS sw, 150+(vec_id%100)::DOUBLE AS bx, 200+(vec_id%70)::DOUBLE AS bY FROM pp)
+@query("b02_lift_and_gap", f"""WITH {POSE}, q AS (SELECT *, greatest(12.0::DOUBLE, sn) AS sw, 150+(vec_id%100)::DOUBLE AS bx, 200+(vec_id%70)::DOUBLE AS ball_y FROM pp)
 SELECT vec_id, round(CASE WHEN hy0 IS NOT NULL AND sh AND (c9>0.3 OR c10>0.3) THEN greatest(CASE WHEN c9>0.3 THEN hy0-y9 END, CASE WHEN c10>0.3 THEN hy0-y10 END)/sw END, 6) AS lift,
- round(CASE WHEN hy0 IS NOT NULL AND sh AND (c9>0.3 OR c10>0.3) THEN least(CASE WHEN c9>0.3 THEN sqrt((x9-bx)*(x9-bx)+(y9-bY)*(y9-bY)) END, CASE WHEN c10>0.3 THEN sqrt((x10-bx)*(x10-bx)+(y10-bY)*(y10-bY)) END)/sw END, 6) AS gap FROM q""")
+ round(CASE WHEN hy0 IS NOT NULL AND sh AND (c9>0.3 OR c10>0.3) THEN least(CASE WHEN c9>0.3 THEN sqrt((x9-bx)*(x9-bx)+(y9-ball_y)*(y9-ball_y)) END, CASE WHEN c10>0.3 THEN sqrt((x10-bx)*(x10-bx)+(y10-ball_y)*(y10-ball_y)) END)/sw END, 6) AS gap FROM q""")
 def b02(spark, sf):
     lift, gap = pose.lift_and_gap(F.col("kp"), (F.col("vec_id") % 100 + 150).cast("double"), (F.col("vec_id") % 70 + 200).cast("double"))
     return poses(spark, sf).select("vec_id", r(lift).alias("lift"), r(gap).alias("gap"))
@@ -98,7 +98,7 @@ ppl AS (SELECT mark, site AS person, x-w AS px1, y-w*3 AS py1, x+w AS px2, y+w*3
 fl AS (SELECT marks.video, mark, mt/3600.0::DOUBLE AS rt, x AS e, y AS c, w*20 AS d FROM marks JOIN det ON det.seq=mark)"""
 
 
-@query("a07_walk_back", f"""WITH {FLIGHT}, st AS (SELECT fl.mark, person, i AS k, -i*(1/60.0::DOUBLE) AS tt, d, e, c, px1, py1, px2, py2 FROM fl JOIN ppl USING (mark), (SELECT unnest(range(1, 73)) AS i)),
+@query("a07_walk_back", f"""WITH {FLIGHT}, st AS (SELECT fl.mark, person, i AS k, (rt-i*(1.0::DOUBLE/60.0::DOUBLE))-rt AS tt, d, e, c, px1, py1, px2, py2 FROM fl JOIN ppl USING (mark), (SELECT unnest(range(1, 73)) AS i)),
 xy AS (SELECT *, d*tt+e AS x, 30*tt*tt-40*tt+c AS y FROM st),
 h AS (SELECT mark, person, k, x, y, sqrt(pow(greatest(px1-x, 0, x-px2), 2)+pow(greatest(py1-y, 0, y-py2), 2)) AS dist FROM xy),
 b AS (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY k, person) AS rk FROM h WHERE dist<=90) SELECT mark, k AS steps, person, round(dist, 3) AS dist FROM b WHERE rk=1""")

@@ -60,12 +60,12 @@ runs AS (SELECT *, CAST(sum(st) OVER (PARTITION BY video, site ORDER BY t, seq R
   FROM flagged)"""
 
 FEATS = f"""{RUNS},
-rp AS (SELECT *, {RIM_SQL} FROM runs),
+runp AS (SELECT *, {RIM_SQL} FROM runs),
 rq AS (SELECT *, sqrt((x-(x1+x2)/2)*(x-(x1+x2)/2)+(y-(y1+y2)/2)*(y-(y1+y2)/2)) AS dd, greatest(1.0::DOUBLE, x2-x1) AS rw0,
   CASE WHEN st=0 AND t>pt THEN (y-py)/(t-pt) END AS v,
   row_number() OVER (PARTITION BY video, site, run_id ORDER BY t DESC, seq DESC) AS back,
   trunc((x1+x2)/2-0.52::DOUBLE*(x2-x1)) AS bx1, trunc((x1+x2)/2+0.52::DOUBLE*(x2-x1)) AS bx2,
-  trunc(y2+0.3::DOUBLE*(x2-x1)) AS by1, trunc(y2+1.3::DOUBLE*(x2-x1)) AS by2 FROM rp),
+  trunc(y2+0.3::DOUBLE*(x2-x1)) AS by1, trunc(y2+1.3::DOUBLE*(x2-x1)) AS by2 FROM runp),
 rz AS (SELECT *, x>=(bx1+bx2)/2+(bx1-(bx1+bx2)/2)*2 AND x<(bx1+bx2)/2+(bx2-(bx1+bx2)/2)*2
   AND y>=(by1+by2)/2+(by1-(by1+by2)/2)*2 AND y<(by1+by2)/2+(by2-(by1+by2)/2)*2 AS inz FROM rq),
 f0 AS (SELECT video, site, run_id, count(*) AS n, min(t) AS t0, max(t) AS t1, arg_min(seq, (t, seq)) AS seq0,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
     return done.toDF(*done.columns)  # fresh column identities, so it may be joined with its own source
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
