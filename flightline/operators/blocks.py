@@ -15,10 +15,11 @@ edge travels through a table with one row per block.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -164,6 +165,12 @@ def gap_flag(prev: str, time: str, gap: float) -> Column:
     return F.col(prev).isNull() | (F.col(time) - F.col(prev) > F.lit(gap))
 
 
+def chain_last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    """All batches, then ``None`` to say that the held rows are complete."""
+    yield from batches
+    yield None
+
+
 Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame | None, object]]
 
 
@@ -177,27 +184,51 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
     rows = cut(s.stamp(df))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_ddl = ", ".join(f"{c} {types[c]}" for c in s.part)
-    part, order, start = s.part, s.order, json.dumps(initial)
-
-    def states_fn(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        used = given["used"].iloc[0]
-        head = {c: block_rows[c].iloc[0] for c in part}
-        _, state = step(block_rows.sort_values(order, kind="stable", ignore_index=True), json.loads(used))
-        return pd.DataFrame([{**head, "used": used, "state": json.dumps(state)}])
-
-    def output_fn(block_rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        used = given["used"].iloc[0]
-        out, _ = step(block_rows.sort_values(order, kind="stable", ignore_index=True), json.loads(used))
-        return out
+    part, order, start, columns = s.part, s.order, json.dumps(initial), rows.columns
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def states_of(block: pd.DataFrame, head: dict, used: str) -> pd.DataFrame:
+        return pd.DataFrame([{**head, "used": used, "state": json.dumps(step(block, json.loads(used))[1])}])
+
+    def output_of(block: pd.DataFrame, head: dict, used: str) -> pd.DataFrame | None:
+        return step(block, json.loads(used))[0]
+
+    def each_block(live: DataFrame, given: DataFrame, fn, schema: str) -> DataFrame:
+        """Stream sorted blocks through Python, each preceded by a row carrying its starting state.
+
+        A fixed partition count, because adaptive coalescing looks at bytes and would put all Python work in one task.
+        """
+        blank = {c: F.lit("0" if types[c] == "string" else 0).cast(types[c]) for c in columns if c not in part}
+        lead = given.withColumns(blank).withColumn("_row", F.lit(False))
+        mixed = live.withColumns({"used": F.lit(""), "_row": F.lit(True)}).unionByName(lead.select(*columns, "used", "_row"))
+        mixed = mixed.repartition(n, *part).sortWithinPartitions(*part, "_row", *order)
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in chain_last(batches):
+                rows_ = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+                if rows_ is None or not len(rows_):
+                    continue
+                firsts = np.flatnonzero(~rows_["_row"].to_numpy(dtype=bool))
+                cuts = [*firsts.tolist(), len(rows_)]
+                if batch is not None:  # the last block may go on in the next batch
+                    held, cuts = rows_.iloc[cuts[-2]:], cuts[:-1]
+                made = []
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if hi - lo > 1:
+                        head = {c: rows_[c].iat[lo] for c in part}
+                        got = fn(rows_.iloc[lo + 1:hi].drop(columns=["used", "_row"]).reset_index(drop=True), head, rows_["used"].iat[lo])
+                        if got is not None and len(got):
+                            made.append(got[names])
+                if made:
+                    yield pd.concat(made, ignore_index=True)
+
+        return mixed.mapInPandas(run, schema)
 
     def advance(todo: DataFrame) -> DataFrame:
         live = rows.join(todo.select(*part), part, "left_semi")
-        return paired(live, todo).applyInPandas(states_fn, f"{key_ddl}, used string, state string")
-
-    def paired(a: DataFrame, b: DataFrame):
-        # a fixed partition count: adaptive coalescing looks at bytes and would put all Python work in one task
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return a.repartition(n, *part).groupBy(*part).cogroup(b.repartition(n, *part).groupBy(*part))
+        return each_block(live, todo, states_of, f"{key_ddl}, used string, state string")
 
     chain = Window.partitionBy(*s.keys).orderBy(s.block)
     blocks = cut(rows.groupBy(*part).count().select(*part, F.lead(s.block).over(chain).alias("_next")))
@@ -223,4 +254,4 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
         handed = states.join(feeds, part).select(
             *s.keys, F.col("_next").alias(s.block), F.col("state").alias("used"))
         final = blocks.join(handed, part, "left").select(*part, F.coalesce("used", F.lit(start)).alias("used"))
-    return paired(rows, final).applyInPandas(output_fn, out_schema)
+    return each_block(rows, final, output_of, out_schema)

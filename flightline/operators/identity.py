@@ -24,17 +24,26 @@ def calibrate(samples: DataFrame, name: Sequence[str]) -> DataFrame:
     return hue.join(s, list(name)).join(v, list(name))
 
 
-def classify(obs: DataFrame, refs: DataFrame, keys: Sequence[str], name: str = "name") -> DataFrame:
-    """Nearest reference and the margin to the runner-up.  The palette of a key travels as one short array."""
-    k = list(keys)
-    palette = refs.groupBy(*k).agg(F.collect_list(F.struct(name, F.col("h").alias("rh"), F.col("s").alias("rs"), F.col("v").alias("rv"))).alias("_refs"))
-    guard = F.when(F.size("_refs") <= MAX_REFS, F.col("_refs")).otherwise(
-        F.raise_error(F.lit("more reference colours than a palette may have")).cast(palette.schema["_refs"].dataType))
-    j = obs.join(palette.withColumn("_refs", guard), k, "left")
-    scored = F.array_sort(F.transform("_refs", lambda r: F.struct(
-        color.color_distance(F.col("h"), F.col("s"), F.col("v"), r["rh"], r["rs"], r["rv"]).alias("d"), r[name].alias("name"))))
-    best, second = F.get(scored, F.lit(0)), F.get(scored, F.lit(1))
-    return j.withColumns({"match": best["name"], "confidence": F.when(best.isNotNull(), color.margin(best["d"], second["d"]))}).drop("_refs")
+def classify(obs: DataFrame, refs: DataFrame, name: str = "name") -> DataFrame:
+    """Nearest reference and the margin to the runner-up.
+
+    A palette is a handful of colours; its size is checked, and it becomes constants of one generated expression.
+    """
+    palette = refs.select(name, "h", "s", "v").orderBy(name).limit(MAX_REFS + 1).collect()
+    if len(palette) > MAX_REFS:
+        raise ValueError(f"more than {MAX_REFS} reference colours")
+    if not palette:
+        return obs.withColumns({"match": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    scored = [F.struct(color.color_distance(F.col("h"), F.col("s"), F.col("v"), F.lit(p["h"]), F.lit(p["s"]), F.lit(p["v"])).alias("d"),
+                       F.lit(p[name]).alias("name")) for p in palette]
+    if len(scored) == 1:
+        return obs.withColumns({"match": scored[0]["name"], "confidence": F.lit(1.0)})
+    rows = obs.withColumns({f"_r{i}": c for i, c in enumerate(scored)})
+    cols = [F.col(f"_r{i}") for i in range(len(scored))]
+    rows = rows.withColumn("_best", F.least(*cols))
+    second = F.array_min(F.array(*[F.when(c != F.col("_best"), c["d"]) for c in cols]))
+    return rows.withColumns({"match": F.col("_best.name"), "confidence": color.margin(F.col("_best.d"), second)}).drop(
+        "_best", *[f"_r{i}" for i in range(len(scored))])
 
 
 def hue_vote(df: DataFrame, keys: Sequence[str], hue: str, order: Sequence[str]) -> DataFrame:

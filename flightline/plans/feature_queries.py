@@ -153,9 +153,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY frame, line, part, x, y ORDER B
 SELECT frame, line, part, max(CASE WHEN k=1 THEN name END) AS match, round(greatest(0, least(1, (max(CASE WHEN k=2 THEN d END)-max(CASE WHEN k=1 THEN d END))/greatest(max(CASE WHEN k=2 THEN d END), 1e-6))), 4) AS confidence
 FROM rk GROUP BY frame, line, part, x, y""")
 def i03(spark, sf):
-    refs = colour_refs(spark, sf).withColumn("palette", F.lit("all"))
-    obs = hsv(spark, sf).withColumn("palette", F.lit("all"))
-    return idn.classify(obs, refs, ["palette"]).select(*ID, "match", r(F.col("confidence"), 4).alias("confidence"))
+    out = idn.classify(hsv(spark, sf), colour_refs(spark, sf))
+    return out.select(*ID, "match", r(F.col("confidence"), 4).alias("confidence"))
 
 
 @query("i04_hue_names", f"""WITH {PTS}, n AS (SELECT *, CASE WHEN line=7 THEN -1 WHEN line=6 THEN -2 WHEN line=5 THEN NULL ELSE (part*7)%360 END AS hue FROM pts)

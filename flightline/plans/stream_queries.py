@@ -98,8 +98,8 @@ def s03(spark, sf):
     rows = table(spark, sf, "labels").select(
         format_clock(t).alias("time"), F.lit("IMG").alias("video"), F.when(F.col("doc_id") % 2 == 0, "left").otherwise("right").alias("hoop"),
         F.when(F.col("quality") == 1, "make").otherwise("miss").alias("outcome"), F.lit("hand").alias("source"), F.lit("").alias("notes"))
-    comments = rows.withColumn("time", F.concat(F.lit("# taken back: "), "time"))
-    rows.unionByName(comments).write.option("header", True).csv(path)
+    rows.write.option("header", True).csv(path)
+    rows.select(F.concat(F.lit("# taken back: "), "time").alias("value")).write.mode("append").text(path)
     got = tables.read_labels(spark, path, tables.CALLED)
     return got.select("t", "hoop", "outcome")
 
