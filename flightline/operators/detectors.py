@@ -49,8 +49,8 @@ def compare_runs(before: DataFrame, after: DataFrame, keys: Sequence[str], t: st
         return df.groupBy(*keys).agg(F.count("*").alias(f"{tag}_n"), (F.max(t) - F.min(t)).alias(f"{tag}_s"))
 
     j = one(before, "before").join(one(after, "after"), list(keys), "full").na.fill(0)
-    tot = j.agg(F.sum("before_n").alias("_b"), F.sum("after_n").alias("_a")).withColumn("_one", F.lit(1))
-    j = j.withColumn("_one", F.lit(1)).join(tot, "_one")
+    tot = j.agg(F.sum("before_n").alias("_b"), F.sum("after_n").alias("_a"))
+    j = j.withColumns({"_b": tot.select("_b").scalar(), "_a": tot.select("_a").scalar()})
     return j.select(*keys, "before_n", "after_n", (F.col("after_n") - F.col("before_n")).alias("gained"),
                     (F.col("after_s") - F.col("before_s")).alias("span_gained"),
                     (F.lit(100.0) * (F.col("_a") - F.col("_b")) / F.greatest(F.lit(1), F.col("_b"))).alias("total_pct"))

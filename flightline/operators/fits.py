@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flightline.operators.blocks import Series, running
 from flightline.operators.joins import point_in_interval
 from flightline.operators.quantiles import quantiles
 from flightline.runtime import cut
@@ -81,10 +82,9 @@ def baseline_deviation(df: DataFrame, keys: Sequence[str], frame: str, cell: str
     """
     k = list(keys)
     fr = df.select(*k, frame).distinct()
-    from pyspark.sql import Window
-    pos = F.row_number().over(Window.partitionBy(*k).orderBy(frame))
-    n = F.count("*").over(Window.partitionBy(*k))
-    early = fr.withColumns({"_p": pos, "_n": n}).filter(F.col("_p") <= F.greatest(F.lit(least), F.floor(F.col("_n") / 3))).select(*k, frame)
+    place = running(fr, Series(tuple(k), frame, frame, 1024.0), {"_p": ("sum", F.lit(1).cast("long"))})
+    total = fr.groupBy(*k).agg(F.count("*").alias("_n"))
+    early = place.join(total, k).filter(F.col("_p") <= F.greatest(F.lit(least), F.floor(F.col("_n") / 3))).select(*k, frame)
     base = quantiles(df.join(early, [*k, frame], "left_semi"), [*k, cell], value, {"_b": 0.5}).select(*k, cell, "_b")
     dev = df.join(base, [*k, cell])
     share = dev.groupBy(*k, frame).agg(F.avg(F.when(F.abs(F.col(value) - F.col("_b")) > level, 1.0).otherwise(0.0)).alias("s"))

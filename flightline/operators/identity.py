@@ -86,9 +86,9 @@ def assign(tracklets: DataFrame, roster: DataFrame, group: Sequence[str], tid: s
     taken = cut(greedy_pairs(pairs, [*g, tid], [*g, "player"], [-F.col("score"), F.col(tid), F.col("player")]))
     left = cut(tracklets.select(*g, tid).join(taken.select(*g, tid), [*g, tid], "left_anti"))
     spare_t = left.groupBy(*g).agg(F.count("*").alias("_nt"), F.min(tid).alias("_t"))
-    players = roster.select("player").distinct().agg(F.collect_set("player").alias("_all")).withColumn("_one", F.lit(1))
+    players = roster.select("player").distinct().agg(F.collect_set("player").alias("_all"))
     used = taken.groupBy(*g).agg(F.collect_set("player").alias("_used"))
-    spare = spare_t.join(used, g, "left").withColumn("_one", F.lit(1)).join(players, "_one")
+    spare = spare_t.join(used, g, "left").withColumn("_all", players.scalar())
     free = F.array_except("_all", F.coalesce("_used", F.array().cast("array<string>")))
     last = spare.withColumn("_f", free).filter((F.col("_nt") == 1) & (F.size("_f") == 1)).select(*g, F.col("_t").alias(tid), F.get("_f", F.lit(0)).alias("player"))
     rest = left.join(last, [*g, tid], "left").select(*g, tid, "player", F.when(F.col("player").isNotNull(), 0.5).otherwise(0.0).alias("confidence"))

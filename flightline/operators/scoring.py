@@ -23,8 +23,8 @@ def retention(df: DataFrame, real: str, fields: Mapping[str, Sequence[float]]) -
         counts = {"kept_real": one(F.col(real)), "kept_false": one(~F.col(real))}
         parts.append(counts_from(df, F.col(name), thresholds, counts).select(F.lit(name).alias("field"), "threshold", *counts))
     rows = reduce(DataFrame.unionByName, parts)
-    total = df.agg(F.sum(one(F.col(real))).alias("_r"), F.sum(one(~F.col(real))).alias("_f")).withColumn("_one", F.lit(1))
-    rows = rows.withColumn("_one", F.lit(1)).join(total, "_one")
+    total = df.agg(F.sum(one(F.col(real))).alias("_r"), F.sum(one(~F.col(real))).alias("_f"))
+    rows = rows.withColumns({"_r": total.select("_r").scalar(), "_f": total.select("_f").scalar()})
     rows = rows.filter((F.col("kept_real") != F.col("_r")) | (F.col("kept_false") != F.col("_f")))
     past = Window.partitionBy("field").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_z", F.coalesce(F.sum(one(F.col("kept_false") == 0)).over(past), F.lit(0)))

@@ -272,8 +272,8 @@ SELECT video, count(*) AS frames, min(frame) AS first, max(frame) AS last, arg_m
 def t17(spark, sf):
     det = detections(spark, sf)
     per_frame = det.select("frame", "video").distinct().groupBy("frame").count()
-    mean = per_frame.agg(r(F.avg("count")).alias("mean_objects")).withColumn("_one", F.lit(1))
-    return seg.survival(det, ["video"]).withColumn("_one", F.lit(1)).join(mean, "_one").drop("_one")
+    mean = per_frame.agg(r(F.avg("count")).alias("mean_objects"))
+    return seg.survival(det, ["video"]).withColumn("mean_objects", mean.scalar())
 
 
 # ---------------------------------------------------------------- gates

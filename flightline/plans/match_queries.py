@@ -283,8 +283,8 @@ def e05(spark, sf):
     near_desc = [v / 10 for v in range(38, -1, -2)]
     k = sw.grid_counts(g, F.col("closed"), [v / 100 for v in range(0, 100, 5)], F.col("nearest"), near_desc,
                        {"tp": one(F.col("real")), "fp": one(~F.col("real"))}, lambda v, t: v >= t, lambda v, t: v <= t, either=True)
-    total = marks(spark, sf).agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    s = k.withColumn("_one", F.lit(1)).join(total, "_one").withColumns(sw.prf(F.col("tp"), F.col("fp"), F.col("total")))
+    total = marks(spark, sf).agg(F.count("*").alias("total"))
+    s = k.withColumn("total", total.scalar()).withColumns(sw.prf(F.col("tp"), F.col("fp"), F.col("total")))
     s = sw.flag_first_max(s, F.round("f1", 12), [F.col("a"), F.col("b")])
     return s.select(F.col("a").alias("c"), F.col("b").alias("n"), "tp", "fp", r(F.col("f1")).alias("f1"), "best")
 

@@ -36,8 +36,8 @@ def e08(spark, sf):
     make = F.col("kind") == "F"
     desc = STEPS[::-1]
     g = sw.grid_counts(p, s, desc, d, desc, {"makes_in": one(make), "misses_in": one(~make)}, lambda v, t: v <= t, lambda v, t: v <= t, either=False)
-    total = p.agg(F.sum(one(make)).alias("all")).withColumn("_one", F.lit(1))
-    k = g.withColumn("_one", F.lit(1)).join(total, "_one").withColumn("ok", F.col("makes_in") >= 0.9 * F.col("all"))
+    total = p.agg(F.sum(one(make)).alias("all"))
+    k = g.withColumn("ok", F.col("makes_in") >= 0.9 * total.scalar())
     w = Window.partitionBy(F.lit(1)).orderBy(F.col("ok").desc(), F.col("a") * F.col("b"), F.abs(F.col("a") - F.col("b")), "a")
     return k.select(F.col("a").alias("half"), F.col("b").alias("depth"), "makes_in", "misses_in", (F.col("ok") & (F.row_number().over(w) == 1)).alias("chosen"))
 

@@ -54,37 +54,35 @@ def t10(spark, sf):
     return out.withColumns({c: r(F.col(c), 3) for c in ("t0", "t1", "apex_t")})
 
 
-def flying(spark, sf) -> DataFrame:
+def flying(trk: DataFrame) -> DataFrame:
     """Arcs of the tracks, time in hours."""
-    pts = tracked(spark, sf).withColumn("h", F.col("t") / HOUR)
-    s = Series(("video", "track_id"), "h", "seq", 240.0)
-    return ar.best_arcs(pts, s, tol=60.0)
+    return ar.best_arcs(trk.withColumn("h", F.col("t") / HOUR), Series(("video", "track_id"), "h", "seq", 240.0), tol=60.0)
 
 
 @query("a03_best_arc")
 def a03(spark, sf):
-    f = flying(spark, sf)
+    f = flying(tracked(spark, sf))
     return f.select("video", "track_id", "n", r(F.col("t0"), 4).alias("t0"), r(F.col("t1"), 4).alias("t1"), r(F.col("a"), 4).alias("a"),
                     r(F.col("rms"), 3).alias("rms"), r(F.col("sag"), 2).alias("sag"))
 
 
 @query("a04_release")
 def a04(spark, sf):
-    rel = ar.releases(flying(spark, sf), ["video", "track_id"])
-    ids = tracked(spark, sf).select("video", "track_id").distinct()
-    out = ids.join(rel, ["video", "track_id"], "left")
+    trk = cut(tracked(spark, sf))
+    rel = ar.releases(flying(trk), ["video", "track_id"])
+    out = trk.select("video", "track_id").distinct().join(rel, ["video", "track_id"], "left")
     return out.select("video", "track_id", F.when(F.col("n").isNull(), "carried").otherwise("thrown").alias("how"), "n",
                       *[r(F.col(c), 2).alias(c) for c in ("release_t", "release_x", "release_y", "sag", "span")])
 
 
 @query("a05_flight_of_shot")
 def a05(spark, sf):
-    f = cut(flying(spark, sf))
+    trk = cut(tracked(spark, sf))
     last = marks(spark, sf).groupBy("video").agg((F.max("mt") / HOUR).alias("anchor"))
-    travel = tracked(spark, sf).groupBy("video", "track_id").agg(
+    travel = trk.groupBy("video", "track_id").agg(
         F.min_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("p"), F.max_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("q"))
     far = travel.filter(dist(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) >= 30.0).select("video", "track_id")
-    cand = f.join(far, ["video", "track_id"], "left_semi").join(last, "video").select("video", "track_id", "end_t", "n", "rms", "anchor")
+    cand = flying(trk).join(far, ["video", "track_id"], "left_semi").join(last, "video").select("video", "track_id", "end_t", "n", "rms", "anchor")
     out = ar.pick_flight(cand, ["video"], "anchor", "track_id", near=24.0)
     return out.select("video", "track_id", "n", r(F.col("late"), 3).alias("late"))
 
@@ -92,8 +90,7 @@ def a05(spark, sf):
 @query("a06_aimed_flight")
 def a06(spark, sf):
     trk = cut(tracked(spark, sf))
-    s = Series(("video", "track_id"), "h", "seq", 240.0)
-    f = ar.best_arcs(trk.withColumn("h", F.col("t") / HOUR), s, tol=60.0)
+    f = flying(trk)
     near = trk.groupBy("video", "track_id").agg(F.count("*").alias("n_points"), F.min(dist(F.col("x"), F.col("y"), 250.0, 40.0)).alias("nearest"))
     shots = marks(spark, sf).groupBy("video").agg((F.max("mt") / HOUR).alias("st")).withColumns({"cx": num(250), "cy": num(40)})
     out = ar.aimed_flight(f, near, shots, ["video"], "st", "cx", "cy")
@@ -104,7 +101,7 @@ def a06(spark, sf):
 def a15(spark, sf):
     """Hours inside a flight without a sighting, where the arc says the ball was in the picture."""
     trk = cut(tracked(spark, sf))
-    f = ar.best_arcs(trk.withColumn("h", F.col("t") / HOUR), Series(("video", "track_id"), "h", "seq", 240.0), tol=60.0)
+    f = flying(trk)
     grid = f.withColumn("frame", F.explode(F.sequence(F.ceil("t0"), F.floor("t1")))).filter("t1 >= t0")
     missing = grid.join(trk.select("video", "track_id", "frame"), ["video", "track_id", "frame"], "left_anti")
     px, py = arc_x(F.col("frame").cast("double")), arc_y(F.col("frame").cast("double"))
@@ -131,7 +128,7 @@ def a16(spark, sf):
 def a17(spark, sf):
     """Seven evenly spaced moments of each clean flight, unseen ones first, split by a fixed hash."""
     trk = cut(tracked(spark, sf))
-    f = ar.best_arcs(trk.withColumn("h", F.col("t") / HOUR), Series(("video", "track_id"), "h", "seq", 240.0), tol=60.0)
+    f = flying(trk)
     f = f.filter("rms <= 40 AND n >= 5").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(6))))
     f = f.withColumn("at", F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("i") / 6).withColumn("frame", F.floor("at"))
     seen = trk.select("video", "track_id", "frame").distinct().withColumn("seen", F.lit(True))
