@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightline.functions.geometry import dist
 from flightline.functions.kinematics import arc_x, arc_y
-from flightline.operators.blocks import HALO, Series, with_halo
+from flightline.operators.blocks import HALO, Series, neighbours, with_halo
+from flightline.operators.joins import point_in_interval
 from flightline.runtime import cut
 
 MIN_SAG = 14.0
@@ -141,3 +142,26 @@ def aimed_flight(arcs: DataFrame, near_tracks: DataFrame, shots: DataFrame, keys
     out = shots.select(*keys).join(best, list(keys), "left").join(longest, list(keys), "left")
     how = F.when(F.col("_b").isNotNull(), "arc").when(F.col("_l").isNotNull(), "longest near the rim").otherwise("none")
     return out.select(*keys, F.coalesce("_b.track_id", "_l.track_id").alias("track_id"), F.col("_b.miss").alias("miss"), how.alias("how"))
+
+
+def predicted_next(df: DataFrame, s: Series) -> DataFrame:
+    """Where a track's next sighting is expected from its last two, moving at constant velocity."""
+    w = neighbours(df, s, {"_t1": (s.time, -1), "_x1": ("x", -1), "_y1": ("y", -1), "_t2": (s.time, -2), "_x2": ("x", -2), "_y2": ("y", -2)})
+    dt, ahead = F.col("_t1") - F.col("_t2"), F.col(s.time) - F.col("_t1")
+    ex = F.col("_x1") + (F.col("_x1") - F.col("_x2")) / dt * ahead
+    ey = F.col("_y1") + (F.col("_y1") - F.col("_y2")) / dt * ahead
+    return w.filter(dt > 0).withColumns({"ex": ex, "ey": ey}).drop("_t1", "_x1", "_y1", "_t2", "_x2", "_y2")
+
+
+def accept_candidate(expected: DataFrame, candidates: DataFrame, keys: Sequence[str], eid: str, cid: str, frame: str, span: float, top: int = 3,
+                     reach: float = 55.0, width: float = 64.0) -> DataFrame:
+    """Second-look sightings: of the ``top`` most confident candidates around the frame, the one nearest the
+    expected place, when it is within ``reach``.  ``candidates``: keys, cid, frame, cand_x, cand_y, conf."""
+    spans = expected.select(*keys, eid, "ex", "ey", (F.col(frame) - span).alias("_lo"), (F.col(frame) + span).alias("_hi"))
+    near = point_in_interval(candidates, spans, keys, frame, "_lo", "_hi", width)
+    # candidates of one moment only: a short window
+    order = Window.partitionBy(eid).orderBy(F.col("conf").desc(), cid)
+    best = near.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top)
+    d = dist(F.col("cand_x"), F.col("cand_y"), F.col("ex"), F.col("ey"))
+    picked = best.withColumn("_d", d).groupBy(eid).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(cid).alias("c"))).alias("_b"))
+    return picked.filter(F.col("_b.d") <= reach).select(eid, F.col("_b.c").alias(cid), F.col("_b.d").alias("off"))

@@ -9,7 +9,7 @@ from flightline.functions.geometry import dist, num
 from flightline.functions.kinematics import arc_x, arc_y
 from flightline.operators import arcs as ar
 from flightline.operators import tracking as tk
-from flightline.operators.blocks import Series, neighbours
+from flightline.operators.blocks import Series
 from flightline.plans.inputs import DAY, DET, HOUR, detections, marks, r
 from flightline.plans.registry import query
 from flightline.runtime import cut
@@ -111,17 +111,17 @@ def a15(spark, sf):
 
 @query("a16_prediction_gate", f"""WITH {DET}, l AS (SELECT *, lag(t) OVER w AS t1, lag(x) OVER w AS x1, lag(y) OVER w AS y1, lag(t, 2) OVER w AS t2,
   lag(x, 2) OVER w AS x2, lag(y, 2) OVER w AS y2 FROM det WINDOW w AS (PARTITION BY video, site ORDER BY t, seq)),
-e AS (SELECT *, x1+(x1-x2)/(t1-t2)*(t-t1) AS ex, y1+(y1-y2)/(t1-t2)*(t-t1) AS ey FROM l WHERE t1>t2)
-SELECT video, site, seq, round(ex, 4) AS ex, round(ey, 4) AS ey, sqrt((x-ex)*(x-ex)+(y-ey)*(y-ey))<=55 AS accepted FROM e""")
+e AS (SELECT *, x1+(x1-x2)/(t1-t2)*(t-t1) AS ex, y1+(y1-y2)/(t1-t2)*(t-t1) AS ey FROM l WHERE t1>t2),
+c AS (SELECT e.seq, e.ex, e.ey, d.seq AS cand, d.x AS cx, d.y AS cy, row_number() OVER (PARTITION BY e.seq ORDER BY d.conf DESC, d.seq) AS k
+  FROM e JOIN det d ON d.video=e.video AND d.frame BETWEEN e.frame-6 AND e.frame+6),
+b AS (SELECT seq, cand, sqrt((cx-ex)*(cx-ex)+(cy-ey)*(cy-ey)) AS off, row_number() OVER (PARTITION BY seq ORDER BY sqrt((cx-ex)*(cx-ex)+(cy-ey)*(cy-ey)), cand) AS rk FROM c WHERE k<=3)
+SELECT e.video, e.site, e.seq, round(ex, 4) AS ex, round(ey, 4) AS ey, cand, round(off, 4) AS off FROM e LEFT JOIN b ON b.seq=e.seq AND rk=1 AND off<=55""")
 def a16(spark, sf):
-    s = Series(("video", "site"), "t", "seq", 7 * DAY)
-    w = neighbours(detections(spark, sf), s, {"t1": ("t", -1), "x1": ("x", -1), "y1": ("y", -1), "t2": ("t", -2), "x2": ("x", -2), "y2": ("y", -2)})
-    dt = F.col("t1") - F.col("t2")
-    ahead = F.col("t") - F.col("t1")
-    ex, ey = F.col("x1") + (F.col("x1") - F.col("x2")) / dt * ahead, F.col("y1") + (F.col("y1") - F.col("y2")) / dt * ahead
-    w = w.filter(dt > 0).withColumns({"ex": ex, "ey": ey})
-    return w.select("video", "site", "seq", r(F.col("ex"), 4).alias("ex"), r(F.col("ey"), 4).alias("ey"),
-                    (dist(F.col("x"), F.col("y"), F.col("ex"), F.col("ey")) <= 55).alias("accepted"))
+    det = detections(spark, sf)
+    e = ar.predicted_next(det, Series(("video", "site"), "t", "seq", 7 * DAY))
+    cand = det.select("video", F.col("seq").alias("cand"), "frame", F.col("x").alias("cand_x"), F.col("y").alias("cand_y"), "conf")
+    got = ar.accept_candidate(e, cand, ["video"], "seq", "cand", "frame", 6, width=48)
+    return e.select("video", "site", "seq", r(F.col("ex"), 4).alias("ex"), r(F.col("ey"), 4).alias("ey")).join(got, "seq", "left").withColumn("off", r(F.col("off"), 4))
 
 
 @query("a17_pseudo_labels")
