@@ -31,7 +31,7 @@ def nearest_person(balls: DataFrame, people: DataFrame, keys: Sequence[str], bac
 
 def with_next_gaps(series: DataFrame, s: Series, ahead: int) -> DataFrame:
     """Add ``after``: up to ``ahead`` following gaps, in order."""
-    wide = with_halo(series, s, 0, ahead)
+    wide = with_halo(series, s, 0, ahead, ["gap"])
     w = s.window().rowsBetween(1, ahead)
     return drop_halo(wide.withColumn("after", F.collect_list("gap").over(w)))
 

@@ -15,7 +15,7 @@ edge travels through a table with one row per block.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from flightline.runtime import cut
 
 HALO = "_halo"
+BLOCKS_PER_TASK = 8  # fewer tasks than spark.sql.shuffle.partitions when there is less than this to do in each
 
 
 @dataclass(frozen=True)
@@ -85,21 +86,24 @@ def _single_edges(rows: DataFrame, s: Series, before: bool, after: bool) -> Data
     return carried.filter(F.col("_e").isNotNull()).select(*keep, F.col(s.block), F.lit(True).alias(HALO))
 
 
-def with_halo(df: DataFrame, s: Series, before: int = 1, after: int = 0) -> DataFrame:
+def with_halo(df: DataFrame, s: Series, before: int = 1, after: int = 0, columns: Sequence[str] | None = None) -> DataFrame:
     """Blocks plus copies of the neighbouring edge rows, flagged in ``_halo``.
 
     Row frames reaching at most ``before`` back and ``after`` ahead are then exact inside a block.  Drop
-    the copies with :func:`drop_halo` afterwards.
+    the copies with :func:`drop_halo` afterwards.  The copies carry only ``columns`` when given, so that the
+    second scan finding them reads no others.
     """
     rows = s.stamp(df)
+    slim = rows if columns is None else rows.select(*dict.fromkeys([*s.part, *s.order, *columns]))
     parts = [rows.withColumn(HALO, F.lit(False))]
     if max(before, after) == 1:
-        return parts[0].unionByName(_single_edges(rows, s, before == 1, after == 1))
-    if before:
-        parts.append(_edge_rows(rows, s, before, "before"))
-    if after:
-        parts.append(_edge_rows(rows, s, after, "after"))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(_single_edges(slim, s, before == 1, after == 1))
+    else:
+        if before:
+            parts.append(_edge_rows(slim, s, before, "before"))
+        if after:
+            parts.append(_edge_rows(slim, s, after, "after"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ def neighbours(df: DataFrame, s: Series, columns: Mapping[str, tuple[str, int]])
     """Add shifted columns: ``{"prev_y": ("y", -1), "next_t": ("t", 1)}``."""
     before = max([-o for _, o in columns.values() if o < 0], default=0)
     after = max([o for _, o in columns.values() if o > 0], default=0)
-    wide = with_halo(df, s, before, after)
+    wide = with_halo(df, s, before, after, [c for c, _ in columns.values()])
     w = s.window()
     shifted = {
         name: F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w) for name, (c, o) in columns.items()
@@ -185,7 +189,9 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     key_ddl = ", ".join(f"{c} {types[c]}" for c in s.part)
     part, order, start, columns = s.part, s.order, json.dumps(initial), rows.columns
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chain = Window.partitionBy(*s.keys).orderBy(s.block)
+    blocks = cut(rows.groupBy(*part).count().select(*part, F.lead(s.block).over(chain).alias("_next")))
+    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BLOCKS_PER_TASK)))
 
     def states_of(block: pd.DataFrame, head: dict, used: str) -> pd.DataFrame:
         return pd.DataFrame([{**head, "used": used, "state": json.dumps(step(block, json.loads(used))[1])}])
@@ -230,8 +236,6 @@ def scan_blocks(df: DataFrame, s: Series, step: Step, out_schema: str, initial:
         live = rows.join(todo.select(*part), part, "left_semi")
         return each_block(live, todo, states_of, f"{key_ddl}, used string, state string")
 
-    chain = Window.partitionBy(*s.keys).orderBy(s.block)
-    blocks = cut(rows.groupBy(*part).count().select(*part, F.lead(s.block).over(chain).alias("_next")))
     # the last block of a key hands its state to nobody, so only the others need running ahead of the output
     feeds = blocks.filter(F.col("_next").isNotNull())
     states = None

@@ -133,7 +133,7 @@ def true_stretches(df: DataFrame, s: Series, on: Column, min_len: int = 1, value
 
 def smoothed_peaks(df: DataFrame, s: Series, y: str = "y") -> DataFrame:
     """Rows where the five-point centred mean of y is a valley of the image, that is, a high point of the flight."""
-    wide = with_halo(df, s, 4, 4)
+    wide = with_halo(df, s, 4, 4, [y])
     w = s.window()
     wide = wide.withColumn("_sm", F.avg(y).over(w.rowsBetween(-2, 2)))
     wide = wide.withColumns({"_b": F.lag("_sm", 2).over(w), "_a": F.lead("_sm", 2).over(w)})
