@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bpe, exact_dedup, language_id, mixing
+from flightline.llm import bpe, exact_dedup, language_id, lm, mixing
 from flightline.llm.common import read
 from flightline.runtime import prepare
 
@@ -52,3 +52,10 @@ def _(spark, folder):
     held_out = language_id.fold("doc_id", 4) == 2
     found = language_id.identify(docs, ~held_out)
     return found.select("doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_lm_scores")
+def _(spark, folder):
+    docs = read(spark, folder, "documents")
+    scored = lm.perplexity(docs, language_id.fold("doc_id", 5) != 1)
+    return scored.withColumn("held_out", language_id.fold("doc_id", 5) == 1)
