@@ -142,7 +142,7 @@ def grams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     for j in range(1, n):
         out *= factor
         out += h[j:j + size]
-    return mixed(out + np.uint64(n) * ODD)
+    return mixed(out + np.full(1, n, np.uint64) * ODD)
 
 
 def spans(owner: np.ndarray, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bpe, exact_dedup, language_id, lm, mixing
+from flightline.llm import bpe, exact_dedup, language_id, lm, mixing, substring_dedup
 from flightline.llm.common import read
 from flightline.runtime import prepare
 
@@ -59,3 +59,8 @@ def _(spark, folder):
     docs = read(spark, folder, "documents")
     scored = lm.perplexity(docs, language_id.fold("doc_id", 5) != 1)
     return scored.withColumn("held_out", language_id.fold("doc_id", 5) == 1)
+
+
+@query("op1_repeated_passages")
+def _(spark, folder):
+    return substring_dedup.digests(substring_dedup.repeated_passages(read(spark, folder, "documents")))
