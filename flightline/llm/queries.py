@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bpe, exact_dedup, language_id, lm, mixing, substring_dedup
+from flightline.llm import bpe, exact_dedup, jaccard_join, language_id, lm, mixing, substring_dedup
 from flightline.llm.common import read
 from flightline.runtime import prepare
 
@@ -64,3 +64,8 @@ def _(spark, folder):
 @query("op1_repeated_passages")
 def _(spark, folder):
     return substring_dedup.digests(substring_dedup.repeated_passages(read(spark, folder, "documents")))
+
+
+@query("op9_jaccard_components")
+def _(spark, folder):
+    return jaccard_join.component_ids(jaccard_join.similar_sets(read(spark, folder, "documents")))
