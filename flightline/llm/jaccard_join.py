@@ -15,8 +15,9 @@ from flightline.llm.common import chunks, grams, mixed, spans, stored, text_byte
 from flightline.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
+BLOCK = 512  # sets of a cluster that one side of a comparing task holds
 HOT = 64  # more different sets than this under one signature make it costly
-MOST = 1e-4  # share of sets that may have more unusable segments than the allocation provides for
+MOST = 0.02  # share of sets that may have more unusable segments than the allocation provides for; those use them all the same
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,7 +41,7 @@ def allocation(low: int, percent: int) -> tuple[int, int, int]:
     high = low * 100 // percent
     h = high * (100 - percent) // percent
     best = None
-    for deletions in range(0, 9):
+    for deletions in range(0, 3):
         for spare in range(0, 64):
             m = h + 1 + spare - deletions
             if m < max(1, deletions):
@@ -50,7 +51,7 @@ def allocation(low: int, percent: int) -> tuple[int, int, int]:
             weight = tiny * (m + deletions) / m
             tail = 1.0 - sum(math.exp(-weight) * weight ** i / math.factorial(i) for i in range(spare + 1)) if weight < 200 else 1.0
             small = m * math.exp(-s) * (1 + s + s * s / 2)
-            cost = m + deletions * s + 4 * small + (0 if tail <= MOST else 1e6 * tail)
+            cost = m + deletions * s + small + (0 if tail <= MOST else 1e6 * tail)
             if best is None or cost < best[0]:
                 best = (cost, m, deletions, spare)
     return best[1], best[2], best[3]
@@ -176,6 +177,52 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(a, "u").join(b, "v").select("u", "v", "t", "s").mapInArrow(run, "u long, v long")
 
 
+def stars(rows: DataFrame) -> DataFrame:
+    """(u, v): every set with the smallest one under the same signature."""
+    least = rows.groupBy("sig").agg(F.min("node").alias("v"))
+    return rows.join(least, "sig").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def between(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between sets of different roots that share a signature, directly or by way of other sets of ``rows``.
+
+    Sets joined by signatures make a cluster, cut into blocks; a task compares two blocks, a set is sent once for each block of its cluster.  The sizes of
+    all common parts come from products of incidence matrices, so no pair is a row; of the links between two roots in a task one is enough.
+    """
+    def compare(key, table):
+        lo, hi = key[1].as_py(), key[2].as_py()
+        nodes, roots, side = (table.column(c).to_numpy() for c in ("node", "root", "b"))
+        g, o = (np.concatenate(x) for x in zip(*[(g, o + a) for a, _, g, o in shingle_sets(table, table.schema.get_field_index("text"), size)]))
+        sizes = np.bincount(o, minlength=len(nodes))
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        _, column, count = np.unique(g, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        column, o = column[shared], o[shared]
+        order = np.argsort(column, kind="stable")
+        column, o = np.cumsum(np.concatenate([[0], np.diff(column[order]) > 0])) if len(order) else column, o[order]
+        common = np.zeros((len(left), len(right)), np.float64)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            i, j = np.searchsorted(column, [first, first + 4096])
+            part = np.zeros((len(nodes), 4096), np.float32)
+            part[o[i:j], column[i:j] - first] = 1
+            common += part[left] @ part[right].T
+        united = sizes[left][:, None] + sizes[right][None, :] - common
+        x, y = np.nonzero((100 * common >= percent * united) & (roots[left][:, None] != roots[right][None, :]))
+        x, y = left[x], right[y]
+        ends = np.stack([np.maximum(roots[x], roots[y]), np.minimum(roots[x], roots[y])], axis=1)
+        _, one = np.unique(ends, axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        return pa.table({"u": nodes[x[one]].astype(np.int64), "v": nodes[y[one]].astype(np.int64)})
+
+    rows = stored(rows, "open")
+    nodes = rows.select("node", "root").distinct()
+    clusters = components(stars(rows)).select("node", F.col("root").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = nodes.join(clusters, "node").join(sizes, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = placed.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "cluster", F.least("b", "_c").alias("lo"), F.greatest("b", "_c").alias("hi"), "b", "node", "root")
+    return placed.join(texts, "node").groupBy("cluster", "lo", "hi").applyInArrow(compare, "u long, v long")
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows with the root of their node, only of signatures that still lie in two or more components."""
     roots = components(links)
@@ -192,8 +239,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal sets become one node.  Signatures met once drop out.  A signature of more than ``hot`` sets is skipped by the sets that have spare credits for all such
     signatures of theirs; those with more keep them, so two similar sets always share one that both kept.  Under a signature every set is
-    compared with the smallest first; only where that leaves several components, members at distance 1, then 2-3, 4-7 ... in order are compared, if
-    they aren't linked yet and weren't compared.  No pair of different sets that could connect two components goes untested.
+    compared with the smallest first; signatures that then still lie in several components are settled by :func:`between`, so no pair of sets
+    that could connect two components goes untested.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -217,27 +264,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     need = least.join(rows.select("node").distinct(), "node")
     texts = stored(keyed.select("key", "text").join(need, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    first = rows.groupBy("sig").agg(F.min("node").alias("v"))
-    pairs = rows.join(first, "sig").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
-    tested = stored(pairs, "tested")
+    tested = stored(stars(rows), "pairs")
     links = stored(verified(tested, texts, size, percent), "links")
-    open_rows, step = stored(_labelled(rows, links), "open"), 1
-    place = Window.partitionBy("sig").orderBy("node")
-    while True:
-        ranked = open_rows.withColumn("i", F.row_number().over(place))
-        if (ranked.agg(F.max("i")).first()[0] or 0) <= step:
-            break
-        far = ranked.withColumn("j", F.explode(F.sequence(F.col("i") + step, F.col("i") + (2 * step - 1)))).select("sig", "j", F.col("node").alias("v"), F.col("root").alias("_root"))
-        pairs = ranked.withColumnRenamed("i", "j").join(far, ["sig", "j"]).filter("root != _root").select(
-            F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-        fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "tested")
-        tested = tested.unionByName(fresh)
-        more = stored(verified(fresh, texts, size, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            open_rows = stored(_labelled(open_rows.select("sig", "node"), links), "open")
-            # members moved up where whole groups closed; within a group left their order and distances stay
-        step *= 2
+    links = links.unionByName(stored(between(_labelled(rows, links), texts, size, percent), "links"))
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     joined = sets.join(roots, "set_id", "left")
     return joined.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root"))
