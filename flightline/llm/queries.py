@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import bpe, exact_dedup, jaccard_join, language_id, lm, mixing, substring_dedup
+from flightline.llm import ann, bpe, exact_dedup, jaccard_join, language_id, licenses, lm, mixing, substring_dedup
 from flightline.llm.common import read
 from flightline.runtime import prepare
 
@@ -69,3 +69,17 @@ def _(spark, folder):
 @query("op9_jaccard_components")
 def _(spark, folder):
     return jaccard_join.component_ids(jaccard_join.similar_sets(read(spark, folder, "documents")))
+
+
+@query("op3_license_scan")
+def _(spark, folder):
+    """Documents as files: source, then a directory of a hundred neighbouring ids, then the id."""
+    docs = read(spark, folder, "documents")
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.substring(name, 1, 10), name)
+    return licenses.licences(docs.select(path.alias("path"), "text"))
+
+
+@query("op5_nearest_vectors")
+def _(spark, folder):
+    return ann.neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
