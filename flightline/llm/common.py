@@ -82,7 +82,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow text column laid end to end (null: none) and where each text starts; one more entry ends the last."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = pc.fill_null(column.cast(kind), pa.scalar(b"" if kind == pa.large_binary() else "", kind))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import ann, bpe, exact_dedup, jaccard_join, language_id, licenses, lm, mixing, substring_dedup
+from flightline.llm import ann, bpe, exact_dedup, jaccard_join, language_id, licenses, lm, mixing, substring_dedup, suffix_dedup
 from flightline.llm.common import read
 from flightline.runtime import prepare
 
@@ -83,3 +83,8 @@ def _(spark, folder):
 @query("op5_nearest_vectors")
 def _(spark, folder):
     return ann.neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_suffix_dedup")
+def _(spark, folder):
+    return suffix_dedup.digests(suffix_dedup.repeated_bytes(read(spark, folder, "documents")))

@@ -59,17 +59,17 @@ class Shard:
         return key, number, order[fresh]
 
 
-def sharded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sharded(docs: DataFrame, id_col: str, text_col: str, finer: int = 1) -> DataFrame:
     """(shard, doc_id, text, d): shards of bounded size; equal texts and missing ids spread over all of them.  ``d`` is a hash of the text."""
-    n = shard_count(docs, text_col)
+    n = shard_count(docs, text_col) * finer
     return docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d"))
 
 
-def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str, text_col: str, finer: int = 1) -> DataFrame:
     """(shard, kind, h, doc): rows whose whole text a row of a smaller id has."""
     doc = F.coalesce("doc_id", F.lit(NO_ID))
-    rows = sharded(docs, id_col, text_col).select("shard", "d", doc.alias("doc"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
+    rows = sharded(docs, id_col, text_col, finer).select("shard", "d", doc.alias("doc"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
     least = rows.groupBy("m").agg(F.min("doc").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return rows.join(least, "m").filter("doc > least").select("shard", F.lit(COPY).alias("kind"), F.col("d").alias("h"), "doc")
 
