@@ -166,7 +166,7 @@ def m14(spark, sf):
 
 
 @query("m15_capped_assignment", """WITH RECURSIVE s AS (SELECT l_orderkey AS frame, l_partkey*10+l_linenumber AS id, l_quantity AS x, l_tax*500 AS y, l_linenumber AS line,
-  l_suppkey AS stored FROM lineitem WHERE l_linenumber<=6),
+  l_suppkey AS stored FROM lineitem),
 a AS (SELECT frame, id AS a, x, y, stored FROM s WHERE line<=3), b AS (SELECT frame, id AS b, x, y FROM s WHERE line>3),
 p AS (SELECT frame, a, b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM a JOIN b USING (frame)),
 q AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY d2, a, b) AS rn FROM (SELECT DISTINCT frame, a, b, min(d2) AS d2 FROM p WHERE d2<=225 GROUP BY 1, 2, 3)),
@@ -177,7 +177,7 @@ walk AS (SELECT frame, 0::BIGINT AS rn, []::BIGINT[] AS ua, []::BIGINT[] AS ub,
 ch AS (SELECT frame, a, b FROM walk WHERE ok), st AS (SELECT frame, a, min(stored) AS stored FROM a GROUP BY ALL)
 SELECT st.frame, st.a, coalesce(ch.b, st.stored) AS value, ch.b IS NOT NULL AS moved FROM st LEFT JOIN ch ON ch.frame=st.frame AND ch.a=st.a""")
 def m15(spark, sf):
-    p = points(spark, sf).filter(F.col("line") <= 6).select(
+    p = points(spark, sf).select(
         "frame", (F.col("part") * 10 + F.col("line")).alias("id"), "x", ((F.col("h") - 3.0) * 5.0).alias("y"), "line", F.col("video").alias("stored"))
     a = p.filter("line <= 3").select("frame", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "stored")
     b = p.filter("line > 3").select("frame", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by_"))

@@ -15,10 +15,18 @@ from flightline.operators.tracking import Tracker, advance_tracks
 from flightline.runtime import workspace
 
 
-def read_events(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
-    """The events table as a stream of detections with an event-time column."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet").parquet(folder))
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table, one file or a folder of them, as a stream of detections with an event-time column.
+
+    What is there at the start is one batch, so the number of files does not decide which rows count as late.
+    """
+    path = f"{folder}/events.parquet"
+    table = spark.read.parquet(path)
+    one = table.select("_metadata.file_path").first()
+    stream = spark.readStream.schema(table.schema)
+    # a stream's path is a folder: that of the table, or the one the table's single file lies in
+    single = one is not None and one[0].endswith("/events.parquet")
+    raw = stream.option("pathGlobFilter", "events.parquet").parquet(folder) if single else stream.parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
