@@ -74,6 +74,7 @@ class Bytes:
     """One shard's texts as bytes; ``whole[j]``: a string of ``length`` bytes at ``j`` lies in one text that is no later copy."""
 
     def __init__(self, table: pa.Table, told: pa.Table, length: int, seed: int):
+        table = table.sort_by([("doc_id", "ascending"), ("d", "ascending")])  # the same order in every pass
         self.ids = table.column("doc_id").cast(pa.int64())
         self.doc = np.array([NO_ID if i is None else i for i in self.ids.to_pylist()], np.int64)
         self.raw, self.at = text_bytes(table.column("text"))
@@ -82,7 +83,8 @@ class Bytes:
         copies = told.filter(pc.equal(told.column("kind"), COPY))
         pairs = set(zip(copies.column("h").to_pylist(), copies.column("doc").to_pylist()))
         self.copy = np.array([x in pairs for x in zip(table.column("d").to_pylist(), self.doc.tolist())], bool) if pairs else np.zeros(len(self.doc), bool)
-        self.told = told.filter(pc.equal(told.column("kind"), HASH)).column("h").to_numpy().view(np.uint64)
+        known = told.filter(pc.equal(told.column("kind"), HASH))
+        self.told, self.counts = known.column("h").to_numpy().view(np.uint64), known.column("doc").to_numpy()
         self.letters = BYTE[self.raw]
         size = max(0, len(self.raw) - length + 1)
         self.whole = (self.owner[:size] == self.owner[length - 1:]) & ~self.copy[self.owner[:size]] if size else np.zeros(0, bool)
@@ -138,10 +140,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": pa.array(np.full(len(first), key[0].as_py(), np.int32)), "g": least[starts[first]].view(np.int64), "doc": s.doc[s.owner[starts[first]]], "cut": pa.array(cut, pa.binary())})
 
     def sort_suffixes(key, table):
-        raw, at = text_bytes(table.column("cut"))
         shard, doc = table.column("shard").to_numpy(), table.column("doc").to_numpy()
-        owner = np.repeat(np.arange(len(doc)), np.diff(at))
-        joined = np.full(len(raw) + len(doc), 1, np.int64)
+        column = table.column("cut").combine_chunks()
+        coded = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        raw, at = text_bytes(coded.dictionary)  # equal stretches are sorted once, with the smallest of their ids
+        smallest = np.full(len(at) - 1, np.iinfo(np.int64).max)
+        np.minimum.at(smallest, which, doc)
+        owner = np.repeat(np.arange(len(smallest)), np.diff(at))
+        joined = np.full(len(raw) + len(smallest), 1, np.int64)
         joined[np.arange(len(raw)) + owner] = raw.astype(np.int64) + 2
         rank = suffix_ranks(joined, DEPTH)
         size = max(0, len(raw) - length + 1)
@@ -153,10 +160,20 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             same[live] = raw[valid[1:][live] + j] == raw[valid[:-1][live] + j]
         group = np.concatenate([[0], np.cumsum(~same)]) if len(valid) else np.zeros(0, np.int64)
         least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[owner[valid]])
-        late = valid[doc[owner[valid]] > least[group]]
-        h = string_hashes(BYTE[raw], length)[late] if len(late) else np.zeros(0, np.uint64)
-        return pa.table({"shard": shard[owner[late]].astype(np.int32), "h": h.view(np.int64)})
+        np.minimum.at(least, group, smallest[owner[valid]])
+        first = np.zeros(len(raw), np.int64)
+        first[valid] = least[group]
+        # back to the stretches: runs of strings that start in a smaller id as well, told by the hash of the run's first string
+        count = np.diff(at)[which] - length + 1
+        row = np.repeat(np.arange(len(which)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + at[:-1][which][row]
+        late = doc[row] > first[place]
+        edge = np.ones(len(row), bool)
+        edge[1:] = row[1:] != row[:-1]
+        begin = np.flatnonzero(late & (edge | ~np.concatenate([[False], late[:-1]])))
+        n = np.diff(np.append(np.cumsum(late)[begin] - 1, late.sum())) if len(begin) else begin
+        h = string_hashes(BYTE[raw], length)[place[begin]] if len(begin) else np.zeros(0, np.uint64)
+        return pa.table({"shard": shard[row[begin]].astype(np.int32), "kind": np.full(len(begin), HASH, np.int32), "h": h.view(np.int64), "doc": n.astype(np.int64)})
 
     def finish(key, table, told):
         s = Bytes(table, told, length, seed)
@@ -164,7 +181,17 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(starts):
             k, number, first = s.classes(starts)
             doc = s.doc[s.owner[starts]]
-            gone = covered(starts[(doc > doc[first][number]) | among(k, s.told)], length, len(s.raw))
+            late = np.zeros(len(first), bool)
+            order = np.argsort(s.told)
+            known, n = s.told[order], s.counts[order]
+            if len(known):  # runs of strings from a class's first member on
+                at = np.minimum(np.searchsorted(known, k[first]), len(known) - 1)
+                hit = known[at] == k[first]
+                edge = np.zeros(len(s.raw) + 1, np.int32)
+                np.add.at(edge, starts[first[hit]], 1)
+                np.add.at(edge, starts[first[hit]] + n[at[hit]], -1)
+                late[number[np.cumsum(edge)[starts] > 0]] = True
+            gone = covered(starts[(doc > doc[first][number]) | late[number]], length, len(s.raw))
         if len(s.raw):
             gone |= (s.copy & (s.sizes >= length))[s.owner]
         left = [s.raw[a:b][~gone[a:b]].tobytes() for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist())]
@@ -174,8 +201,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = found.withColumn("n", F.sum("n").over(Window.partitionBy("h"))).filter("n > 1").select("shard", "h")
     cuts = shards(texts).cogroup(shards(hashes(live).unionByName(copies))).applyInArrow(stretches, "shard int, g long, doc long, cut binary")
     buckets = docs.select(F.lit(1)).count() // 200 + 1
-    late = cuts.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(sort_suffixes, "shard int, h long").distinct()
-    return shards(texts).cogroup(shards(hashes(late).unionByName(copies))).applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+    late = cuts.withColumn("bucket", F.pmod("g", F.lit(buckets))).groupBy("bucket").applyInArrow(sort_suffixes, "shard int, kind int, h long, doc long")
+    return shards(texts).cogroup(shards(late.unionByName(copies))).applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
 def digests(found: DataFrame) -> DataFrame:
