@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightline.operators.quantiles import quantiles
+from flightline.operators.quantiles import UPPER_MEDIAN, quantiles
 
 
 def recall_at(labels: DataFrame, boxes: DataFrame, image: str, order: Sequence[str], confs: Sequence[float],
@@ -27,7 +27,7 @@ def recall_at(labels: DataFrame, boxes: DataFrame, image: str, order: Sequence[s
     def take(state: Column, label: Column) -> Column:
         # indexes carried in the state are the boxes already claimed
         far = F.transform(F.col("_b"), lambda b, i: F.struct(
-            (F.sqrt(F.pow(b["px"] - label["px"], 2) + F.pow(b["y"] - label["y"], 2)) / F.greatest(label["w"], F.lit(1e-9))).alias("d"),
+            (F.sqrt(F.pow(b["px"] - label["px"], 2) + F.pow(b["y"] - label["y"], 2)) / F.greatest(label["w"], F.lit(0.01))).alias("d"),
             i.cast("int").alias("i")))
         best = F.array_min(F.filter(far, lambda f: ~F.array_contains(state["used"], f["i"])))
         ok = F.coalesce(best["d"] <= reach, F.lit(False))
@@ -39,7 +39,7 @@ def recall_at(labels: DataFrame, boxes: DataFrame, image: str, order: Sequence[s
     per = rows.select("conf", F.size("_s.errs").alias("hits"), F.size("_l").alias("labels"),
                       (F.size("_b") - F.size("_s.errs")).alias("false_boxes"), F.col("_s.errs").alias("errs"))
     totals = per.groupBy("conf").agg(F.sum("hits").alias("hits"), F.sum("labels").alias("labels"), F.sum("false_boxes").alias("false_boxes"))
-    med = quantiles(per.select("conf", F.explode("errs").alias("e")), ["conf"], "e", {"median_error": 0.5}).select("conf", "median_error")
+    med = quantiles(per.select("conf", F.explode("errs").alias("e")), ["conf"], "e", {"median_error": UPPER_MEDIAN}).select("conf", "median_error")
     return totals.join(med, "conf", "left")
 
 

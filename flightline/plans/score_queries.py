@@ -226,14 +226,14 @@ def e27(spark, sf):
 
 
 @query("e29_blend", f"""WITH {JD}, w AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS weight), b AS (SELECT weight, quality=1 AS y, p>=0.5 AS a, net>=0.5 AS b, weight*p+(1-weight)*net>=0.5 AS m FROM jd, w)
-SELECT weight, round(avg((m=y)::INT), 6) AS accuracy, count(*) FILTER (a=b) AS agree, count(*) FILTER (a=y AND b=y) AS both_right, count(*) FILTER (a<>y AND m=y) AS saves FROM b GROUP BY weight""")
+SELECT weight, round(avg((m=y)::INT), 6) AS accuracy, count(*) FILTER (a=b) AS agree, count(*) FILTER (a=y AND b=y) AS both_right, count(*) FILTER (a<>y AND b=y) AS saves FROM b GROUP BY weight""")
 def e29(spark, sf):
     d = judged_docs(spark, sf)
     y, a, b = F.col("y") == 1, F.col("p") >= 0.5, F.col("net") >= 0.5
     rows = d.withColumn("weight", F.explode(F.array(*[F.lit(v) for v in (0.3, 0.5, 0.7)])))
     m = F.col("weight") * F.col("p") + (1 - F.col("weight")) * F.col("net") >= 0.5
     return rows.groupBy("weight").agg(r(F.avg(one(m == y))).alias("accuracy"), F.count_if(a == b).alias("agree"), F.count_if((a == y) & (b == y)).alias("both_right"),
-                                      F.count_if((a != y) & (m == y)).alias("saves"))
+                                      F.count_if((a != y) & (b == y)).alias("saves"))
 
 
 @query("e30_equivariance", f"""WITH {RIG}, s AS (SELECT unnest([-4, -2, 2, 4])::DOUBLE AS shift), c AS (SELECT shift, abs(x+shift*0.9-(rx1+shift)) AS d_target, abs(x+shift*0.9-rx2) AS d_centre FROM rig, s)
