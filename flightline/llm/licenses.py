@@ -6,7 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -34,15 +34,24 @@ def weights(templates: Mapping[str, str]) -> tuple[dict[str, float], float, dict
     return idf, math.log(1 + 2 * len(bags)), units
 
 
+def possible(t: Column, units: Mapping[str, Mapping[str, float]], threshold: float) -> Column:
+    """Whether the cosine of ``t`` with some template can reach ``threshold``: it is at most the length of the template's part in the terms found."""
+    mass = [sum((F.when(F.contains(t, F.lit(w)), F.lit(x * x)).otherwise(F.lit(0.0)) for w, x in sorted(u.items())), F.lit(0.0)) for u in units.values()]
+    return (F.greatest(*mass) if len(mass) > 1 else mass[0]) >= threshold * threshold - 1e-6
+
+
 def stated(files: DataFrame, path_col: str, text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
     """(path, licence, score): the best template for any line of a file, where its cosine reaches ``threshold``; ties to the name first in order.
 
-    A cosine is at most the share of a line's length that lies in template terms, so lines below that bound are left before terms are expanded.
+    Texts and then lines that hold too few of any template's terms are left by a search for substrings, before they are split.  A cosine is also at most
+    the share of a line's length that lies in template terms.  Equal lines of one path are one.
     """
     spark = files.sparkSession
     idf, other, units = weights(templates)
     known = F.create_map(*[x for w, v in sorted(idf.items()) for x in (F.lit(w), F.lit(v))])
-    lines = files.select(F.col(path_col).alias("path"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\n")).alias("line", "t"))
+    can = lambda t: possible(t, units, threshold)
+    lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    lines = files.filter(F.exists(F.array(lower), can)).select(F.col(path_col).alias("path"), F.explode(F.filter(F.split(lower, "\n"), can)).alias("t"))
     lines = lines.withColumn("w", F.filter(F.transform(F.split("t", SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != ""))
     lines = lines.withColumn("m", F.filter("w", lambda w: w.isin(*sorted(idf)))).filter(F.size("m") > 0)
     # a repeated term weighs with its square; terms of no template count at least once each
@@ -50,10 +59,10 @@ def stated(files: DataFrame, path_col: str, text_col: str, templates: Mapping[st
     foreign = F.array_distinct(F.filter("w", lambda w: ~w.isin(*sorted(idf))))
     outer = F.aggregate(foreign, F.lit(0.0), lambda s, w: s + F.pow(F.lit(other) * F.size(F.filter("w", lambda x: x == w)), 2))
     floor = F.col("inner") + other * other * (F.size("w") - F.size("m"))
-    lines = lines.withColumn("inner", inner).filter(F.col("inner") >= threshold * threshold * floor).withColumn("norm", F.sqrt(F.col("inner") + outer))
-    terms = lines.select("path", "line", "norm", F.explode("m").alias("term")).withColumn("tf", F.element_at(known, F.col("term")))
+    lines = lines.withColumn("inner", inner).filter(F.col("inner") >= threshold * threshold * floor).select("path", "t", "m", F.sqrt(F.col("inner") + outer).alias("norm")).distinct()
+    terms = lines.select("path", "t", "norm", F.explode("m").alias("term")).withColumn("tf", F.element_at(known, F.col("term")))
     table = spark.createDataFrame([(n, w, x) for n, u in sorted(units.items()) for w, x in sorted(u.items())], "licence string, term string, unit double")
-    scores = terms.join(table, "term").groupBy("path", "line", "licence").agg((F.sum(F.col("tf") * F.col("unit")) / F.max("norm")).alias("score"))
+    scores = terms.join(table, "term").groupBy("path", "t", "licence").agg((F.sum(F.col("tf") * F.col("unit")) / F.max("norm")).alias("score"))
     good = scores.withColumn("score", F.round("score", 9)).filter(F.col("score") >= threshold)
     return good.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 

@@ -42,6 +42,8 @@ def test_licences(spark):
     assert got["z"] == (None, None) and got["q/r"] == (None, None) and got[None] == ("MIT", None) and got["a/long"] == ("MIT", "a")
     frame = licences(spark.createDataFrame([(*r, 0) for r in rows], "path string, text string, dir int"))
     assert frame.count() == len(rows)
+    twice = licences(spark.createDataFrame([("a/x", TEMPLATES["MIT"] + "\n" + TEMPLATES["MIT"])] * 2 + [("a/y", "under the mit of it all, released to no one in the end")], "path string, text string")).collect()
+    assert sorted((r["path"], r["licence"], r["score"]) for r in twice) == [("a/x", "MIT", 1.0)] * 2 + [("a/y", "MIT", 1.0)]
 
 
 def test_every_stated_licence_is_found(spark):
