@@ -34,32 +34,68 @@ def ballistic(t: np.ndarray, x: np.ndarray, y: np.ndarray):
     return a, b, c, d, e, float(np.sqrt(res.mean()))
 
 
+class Stretches:
+    """Fits of all stretches of one block that end at the same point, from sums of powers up to each point: a fit costs the same however long it is."""
+
+    def __init__(self, t: np.ndarray, x: np.ndarray, y: np.ndarray, tol: float):
+        self.t, self.x, self.y, self.tol = t, x, y, tol
+        self.u, self.v, self.w = (c - c.mean() for c in (t, x, y))
+        u, v, w = self.u, self.v, self.w
+        terms = [np.ones_like(u), u, u**2, u**3, u**4, v, u * v, v**2, w, u * w, u**2 * w, w**2]
+        self.sums = np.concatenate([np.zeros((len(terms), 1)), np.cumsum(terms, axis=1)], axis=1)
+        self.moment = np.concatenate([[0], np.cumsum(np.diff(t) > 0)])  # number of the point's moment
+
+    def ending(self, end: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each start: does the parabola hold, does it also reach the point before, its curvature and its residual."""
+        s = self.sums[:, end, None] - self.sums[:, starts]
+        n = s[0]
+        m, m2, m3, m4, mx, mtx, mxx, my, mty, mtty, myy = s[1:] / n
+        c2, c3 = m2 - m**2, m3 - 3 * m * m2 + 2 * m**3
+        c4 = m4 - 4 * m * m3 + 6 * m**2 * m2 - 3 * m**4 - c2**2
+        tx, ty = mtx - m * mx, mty - m * my
+        tty = mtty - 2 * m * mty + m**2 * my - c2 * my
+        sound = (n * n * c2 >= 1e-9) & (self.moment[end - 1] - self.moment[starts] >= 2)
+        with np.errstate(all="ignore"):
+            det = c2 * c4 - c3**2
+            speed, slope, bend = tx / c2, (ty * c4 - c3 * tty) / det, (c2 * tty - c3 * ty) / det
+            rms = np.sqrt(np.maximum(0.0, mxx - mx**2 - speed * tx + myy - my**2 - slope * ty - bend * tty))
+            before = np.maximum(starts - 1, 0)
+            ahead = self.u[before] - m
+            off = np.hypot(mx + speed * ahead - self.v[before], my + slope * ahead + bend * (ahead**2 - c2) - self.w[before])
+            return sound & (bend > 0) & (rms <= self.tol), off <= self.tol, bend, rms
+
+
 def longest_arc(t, x, y, first_end: int, more_before: bool, tol: float, min_pts: int):
-    """Best arc among those ending at index ``first_end`` or later; says when one ran out of earlier points."""
-    best, cut_short = None, False
+    """Best arc among those ending at index ``first_end`` or later; says when one ran out of earlier points.
+
+    An arc grows backwards while each wider stretch still is a falling parabola and the narrower one had foreseen the point it took in, so its
+    length is that of the leading run of such stretches, looked up some dozens at a time.  Longest first, then the smaller residual, then the later end.
+    """
+    fits, best, cut_short = Stretches(t, x, y, tol), None, False
     for end in range(len(t), max(first_end, min_pts - 1), -1):
-        start = end - min_pts
-        fit = ballistic(t[start:end], x[start:end], y[start:end])
-        if fit is None or fit[0] <= 0 or fit[5] > tol:
-            continue
-        while start > 0:
-            back = t[start - 1] - t[start]
-            gx, gy = fit[3] * back + fit[4], fit[0] * back * back + fit[1] * back + fit[2]
-            if ((gx - x[start - 1]) ** 2 + (gy - y[start - 1]) ** 2) ** 0.5 > tol:
-                break
-            wider = ballistic(t[start - 1:end], x[start - 1:end], y[start - 1:end])
-            if wider is None or wider[0] <= 0 or wider[5] > tol:
+        grown, last, foreseen = 0, None, True
+        for hi in range(end - min_pts, -1, -64):
+            starts = np.arange(hi, max(hi - 64, -1), -1)
+            holds, reaches, bend, rms = fits.ending(end, starts)
+            go = holds & np.concatenate([[foreseen], reaches[:-1]])
+            run = len(go) if go.all() else int(np.argmin(go))
+            if run:
+                grown, last, foreseen = grown + run, (bend[run - 1], rms[run - 1]), bool(reaches[run - 1])
+            if run < len(go):
                 break
-            start, fit = start - 1, wider
-        else:
-            cut_short = cut_short or more_before
-        span = t[end - 1] - t[start]
-        sag = abs(fit[0]) * span * span / 8.0
-        if sag < MIN_SAG:
+        if last is None:
             continue
-        if best is None or end - start > best[0] or (end - start == best[0] and fit[5] < best[8]):
-            best = [end - start, t[start], t[end - 1], *fit[:5], fit[5], sag, t[end - 1], x[end - 1], y[end - 1]]
-    return best, cut_short
+        start = end - min_pts - grown + 1
+        cut_short |= more_before and start == 0
+        if abs(last[0]) * (t[end - 1] - t[start]) ** 2 / 8.0 >= MIN_SAG:
+            best = min([b for b in (best, (-(end - start), last[1], -end)) if b is not None])
+    if best is None:
+        return None, cut_short
+    end = -best[2]
+    start = end + best[0]
+    fit = ballistic(t[start:end], x[start:end], y[start:end])
+    span = t[end - 1] - t[start]
+    return [end - start, t[start], t[end - 1], *fit, abs(fit[0]) * span * span / 8.0, t[end - 1], x[end - 1], y[end - 1]], cut_short
 
 
 def best_arcs(df: DataFrame, s: Series, tol: float = 34.0, min_pts: int = 5, halo: int = 32) -> DataFrame:
@@ -131,9 +167,10 @@ def aimed_flight(arcs: DataFrame, near_tracks: DataFrame, shots: DataFrame, keys
                  accept: float = 700.0, within: float = 500.0) -> DataFrame:
     """The flight whose arc at the shot's time is nearest the rim, else the longest track that came near it.
 
-    ``arcs``: keys, track_id and fit; ``near_tracks``: keys, track_id, n_points, nearest (distance to the rim).
+    ``arcs``: rows of a shot's footage with keys, track_id, fit and the shot's time and rim; ``near_tracks``: keys, track_id, n_points, nearest
+    (distance to the rim).
     """
-    j = arcs.withColumnRenamed("n", "n_arc").join(shots, list(keys))
+    j = arcs.withColumnRenamed("n", "n_arc")
     miss = dist(arc_x(F.col(t)), arc_y(F.col(t)), F.col(cx), F.col(cy))
     j = j.withColumn("miss", miss).filter(F.col("miss") <= accept)
     best = j.groupBy(*keys).agg(F.min(F.struct("miss", "track_id")).alias("_b"))

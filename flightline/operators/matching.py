@@ -53,6 +53,7 @@ def in_order(marks: DataFrame, calls: DataFrame, keys: Sequence[str], tol: float
              width: float) -> DataFrame:
     """Marks in time order each take one unused call: the first within ``tol``, or the nearest when ``nearest``.
 
+    With ``use_hoop`` a call that names a hoop fits only marks that name the same one; a call that names none fits all.
     A mark is laid into the stream ``tol`` late, when every call it may take has gone by; the state is the short
     list of calls not taken yet.
     """
@@ -60,10 +61,10 @@ def in_order(marks: DataFrame, calls: DataFrame, keys: Sequence[str], tol: float
                      F.coalesce(F.col("choop").cast("long"), F.lit(-1)).alias("hoop"))
     b = marks.select(*keys, (F.col("mt") + tol).alias("at"), F.lit(1).alias("kind"), F.col("mark").alias("id"), F.col("mt").alias("t"),
                      F.coalesce(F.col("mhoop").cast("long"), F.lit(-1)).alias("hoop"))
-    stream = a.unionByName(b).withColumn("ord", F.struct("kind", "t", "id"))
     s = Series(tuple(keys), "at", "q", width)
-    # kind, then time, then id, as one sortable text
-    stream = stream.withColumn("q", F.format_string("%d|%020.6f|%020d", "kind", "t", "id")).drop("ord")
+    # at one moment calls before marks, then by id, as one sortable text; ids are shifted so that none is negative
+    shifted = (F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string")
+    stream = a.unionByName(b).withColumn("q", F.concat(F.col("kind").cast("string"), F.lpad(shifted, 20, "0")))
 
     def step(rows: pd.DataFrame, state):
         free = state or []
@@ -75,7 +76,7 @@ def in_order(marks: DataFrame, calls: DataFrame, keys: Sequence[str], tol: float
             best = None
             for c in free:
                 dt = abs(c[1] - t)
-                if dt > tol or (use_hoop and hoop >= 0 and c[2] >= 0 and c[2] != hoop):
+                if dt > tol or (use_hoop and c[2] >= 0 and c[2] != hoop):
                     continue
                 if best is None or (nearest and dt < best[0]):
                     best = (dt, c)

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightline.operators.scoring import one, rank_auc
@@ -43,9 +43,18 @@ def with_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("p", vector_to_array("probability")[1])
 
 
-def folds(df: DataFrame, row_id: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """A fold per row from a hash of its id: no sort, stable under repartitioning, even within each class on average."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(k)).cast("int"))
+def folds(df: DataFrame, row_id: Sequence[str], k: int = 5, seed: int = 0, label: str = "y", buckets: int = 1024) -> DataFrame:
+    """Stratified folds: rows of each class, in an order shuffled by a hash of their id, are dealt out in turn, so class sizes of folds differ by one at most.
+
+    A row's place in its class is its place within a bucket of the shuffle plus the sizes of earlier buckets: no task ranks a whole class.
+    """
+    rows = df.withColumn("_h", F.xxhash64(*row_id, F.lit(seed))).withColumn("_b", F.shiftright("_h", 64 - (buckets.bit_length() - 1)))
+    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(
+        F.col(label).alias("_y"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", *row_id)) - 1
+    placed = rows.withColumn("_within", inside).join(earlier, F.col(label).eqNullSafe(F.col("_y")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("fold", ((F.col("_earlier") + F.col("_within")) % k).cast("int")).select(*df.columns, "fold")
 
 
 def out_of_fold(df: DataFrame, make, k: int = 5) -> DataFrame:

@@ -31,9 +31,20 @@ def matched(spark, sf) -> DataFrame:
     return mt.match_events(marks(spark, sf), calls(spark, sf), ["video"], TOL)
 
 
-@query("m01_first_fit")
+def in_order_sql(before: str, marks_: str, calls_: str, rule: str, order: str) -> str:
+    """Marks in time order; each one's list of fitting calls in order of preference, of which it takes the first not taken yet."""
+    return f"""WITH RECURSIVE {before}, fit AS (SELECT m.video, m.mark, m.mt, list(c.call ORDER BY {order}) AS fits FROM {marks_} m JOIN {calls_} c USING (video)
+  WHERE abs(c.ct-m.mt)<=43200 AND {rule} GROUP BY ALL), rm AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY mt, mark) AS rn FROM fit),
+steps AS (SELECT video, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS mark, NULL::BIGINT AS call FROM (SELECT DISTINCT video FROM rm)
+  UNION ALL SELECT video, rn, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, mark, pick
+  FROM (SELECT p.video, p.rn, p.mark, s.used, [x for x in p.fits if NOT list_contains(s.used, x)][1] AS pick FROM steps s JOIN rm p ON p.video=s.video AND p.rn=s.rn+1))
+SELECT s.mark, s.call, round(abs(c.ct-m.mt), 3) AS dt FROM steps s JOIN {marks_} m ON m.mark=s.mark JOIN {calls_} c ON c.call=s.call"""
+
+
+@query("m01_first_fit", in_order_sql(f"{MARKS}, {CALLS}", "marks", "calls", "(c.choop IS NULL OR c.choop=m.mhoop)", "c.ct, c.call"))
 def m01(spark, sf):
-    return mt.in_order(marks(spark, sf), calls(spark, sf), ["video"], TOL, nearest=False, use_hoop=True, width=14 * DAY)
+    out = mt.in_order(marks(spark, sf), calls(spark, sf), ["video"], TOL, nearest=False, use_hoop=True, width=14 * DAY)
+    return out.withColumn("dt", r(F.col("dt"), 3))
 
 
 @query("m02_nearest_first", f"WITH RECURSIVE {PAIRS} SELECT video, mark, call, round(dt, 3) AS dt FROM matched")
@@ -41,9 +52,10 @@ def m02(spark, sf):
     return matched(spark, sf).select("video", "mark", "call", r(F.col("dt"), 3).alias("dt"))
 
 
-@query("m03_nearest_unused")
+@query("m03_nearest_unused", in_order_sql(f"{MARKS}, {CALLS}", "marks", "calls", "true", "abs(c.ct-m.mt), c.ct, c.call"))
 def m03(spark, sf):
-    return mt.in_order(marks(spark, sf), calls(spark, sf), ["video"], TOL, nearest=True, use_hoop=False, width=14 * DAY)
+    out = mt.in_order(marks(spark, sf), calls(spark, sf), ["video"], TOL, nearest=True, use_hoop=False, width=14 * DAY)
+    return out.withColumn("dt", r(F.col("dt"), 3))
 
 
 NEAREST = f"""{MARKS}, {CALLS}, nn AS (SELECT call, ct, fall, calls.video, mark, abs(ct-mt) AS dt,
@@ -72,14 +84,17 @@ def m05(spark, sf):
     return mt.covered(marks(spark, sf), scanned(spark, sf), ["video"], HOUR, 2 * DAY).select("mark", "outcome")
 
 
-@query("m06_named_false_positives")
+@query("m06_named_false_positives", in_order_sql(
+    f"""{PAIRS}, free AS (SELECT * FROM calls WHERE call NOT IN (SELECT call FROM matched)),
+nots AS (SELECT user_id AS video, event_id AS mark, epoch_us(ts)/1e6 AS mt FROM events WHERE event_type='error')""", "nots", "free", "true", "c.ct, c.call"))
 def m06(spark, sf):
     """Errors as moments known not to be shots."""
     used = matched(spark, sf).select("call")
     free = calls(spark, sf).join(used, "call", "left_anti")
     d = detections(spark, sf).filter(F.col("site") == "error")
     nots = d.select("video", F.col("seq").alias("mark"), F.col("t").alias("mt"), F.lit(None).cast("long").alias("mhoop"))
-    return mt.in_order(nots, free, ["video"], TOL, nearest=False, use_hoop=False, width=14 * DAY)
+    out = mt.in_order(nots, free, ["video"], TOL, nearest=False, use_hoop=False, width=14 * DAY)
+    return out.withColumn("dt", r(F.col("dt"), 3))
 
 
 @query("m07_extra_calls", f"WITH RECURSIVE {PAIRS} SELECT call, round(fall, 6) AS fall FROM calls WHERE call NOT IN (SELECT call FROM matched)")

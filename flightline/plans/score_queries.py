@@ -304,6 +304,6 @@ def e26(spark, sf):
 def e28(spark, sf):
     from pyspark.ml.functions import array_to_vector
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("y"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return md.out_of_fold(md.folds(e, ["vec_id"], 3), md.pca_logistic, 3).select("vec_id", "y", r(F.col("p"), 4).alias("p"))
+    return md.out_of_fold(md.folds(e, ["vec_id"], 5), md.pca_logistic, 5).select("vec_id", "y", r(F.col("p"), 4).alias("p"))
 
 

@@ -10,6 +10,7 @@ from flightline.functions.kinematics import arc_x, arc_y
 from flightline.operators import arcs as ar
 from flightline.operators import tracking as tk
 from flightline.operators.blocks import Series
+from flightline.operators.joins import point_in_interval
 from flightline.plans.inputs import DAY, DET, HOUR, detections, marks, r
 from flightline.plans.registry import query
 from flightline.runtime import cut
@@ -17,6 +18,7 @@ from flightline.runtime import cut
 FRAMES = Series(("video",), "frame", "seq", 168.0)
 RADIUS = 60.0
 FAST = tk.Tracker(ceiling=120.0, slack=5.0)
+SHOT_H = 240.0  # a shot's own stretch of footage, in hours to either side
 
 
 def tracked(spark, sf) -> DataFrame:
@@ -78,22 +80,28 @@ def a04(spark, sf):
 @query("a05_flight_of_shot")
 def a05(spark, sf):
     trk = cut(tracked(spark, sf))
-    last = marks(spark, sf).groupBy("video").agg((F.max("mt") / HOUR).alias("anchor"))
+    shots = marks(spark, sf).select("video", "mark", (F.col("mt") / HOUR).alias("anchor")).withColumns(
+        {"lo": F.col("anchor") - SHOT_H, "hi": F.col("anchor") + SHOT_H})
     travel = trk.groupBy("video", "track_id").agg(
-        F.min_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("p"), F.max_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("q"))
-    far = travel.filter(dist(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) >= 30.0).select("video", "track_id")
-    cand = flying(trk).join(far, ["video", "track_id"], "left_semi").join(last, "video").select("video", "track_id", "end_t", "n", "rms", "anchor")
-    out = ar.pick_flight(cand, ["video"], "anchor", "track_id", near=24.0)
-    return out.select("video", "track_id", "n", r(F.col("late"), 3).alias("late"))
+        F.min_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("p"), F.max_by(F.struct("x", "y"), F.struct("frame", "seq")).alias("q"),
+        (F.max("t") / HOUR).alias("end_t"))
+    far = travel.filter(dist(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y")) >= 30.0).select("video", "track_id", "end_t")
+    ends = flying(trk).select("video", "track_id", "n", "rms").join(far, ["video", "track_id"])  # lateness is that of the track, not of its arc
+    cand = point_in_interval(ends, shots, ["video"], "end_t", "lo", "hi", 2 * SHOT_H).select("video", "mark", "track_id", "end_t", "n", "rms", "anchor")
+    out = ar.pick_flight(cand, ["video", "mark"], "anchor", "track_id", near=24.0)
+    return out.select("video", "mark", "track_id", "n", r(F.col("late"), 3).alias("late"))
 
 
 @query("a06_aimed_flight")
 def a06(spark, sf):
     trk = cut(tracked(spark, sf))
     f = flying(trk)
-    near = trk.groupBy("video", "track_id").agg(F.count("*").alias("n_points"), F.min(dist(F.col("x"), F.col("y"), 250.0, 40.0)).alias("nearest"))
-    shots = marks(spark, sf).groupBy("video").agg((F.max("mt") / HOUR).alias("st")).withColumns({"cx": num(250), "cy": num(40)})
-    out = ar.aimed_flight(f, near, shots, ["video"], "st", "cx", "cy")
+    near = trk.groupBy("video", "track_id").agg(F.count("*").alias("n_points"), F.min(dist(F.col("x"), F.col("y"), 250.0, 40.0)).alias("nearest"),
+                                                (F.max("t") / HOUR).alias("end_t"))
+    shots = marks(spark, sf).select("video", "mark", (F.col("mt") / HOUR).alias("st")).withColumns(
+        {"cx": num(250), "cy": num(40), "lo": F.col("st") - SHOT_H, "hi": F.col("st") + SHOT_H})
+    around = lambda flights: point_in_interval(flights, shots, ["video"], "end_t", "lo", "hi", 2 * SHOT_H)
+    out = ar.aimed_flight(around(f), around(near), shots, ["video", "mark"], "st", "cx", "cy")
     return out.withColumn("miss", r(F.col("miss"), 2))
 
 
