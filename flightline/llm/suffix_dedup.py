@@ -22,6 +22,11 @@ def packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the order of ``keys``: counted where the keys are about as many as their values, else sorted."""
+    if keys.max(initial=0) <= 4 * len(keys) + 1024:
+        seen = np.zeros(int(keys.max(initial=0)) + 1, np.int64)
+        seen[keys] = 1
+        return (np.cumsum(seen) - 1)[keys]
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
 
@@ -43,20 +48,38 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
         inner = suffix_ranks(np.concatenate([names[:len(one)] + 2, [1], names[len(one):] + 2]), depth - 1)
         names = dense(np.delete(inner, len(one)))
     rank = np.zeros(n + 3, np.int64)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     # how many of the sample come before each of the rest: those at place 1 by (number, rank), those at place 2 by (two numbers, rank)
     key1 = packed(t[:n], rank[1:n + 1])
     key2 = packed(pair[:n], rank[2:n + 2])
+    rest = rest[np.argsort(key1[rest])]
     before = np.searchsorted(np.sort(key1[one]), key1[rest]) + np.searchsorted(np.sort(key2[two]), key2[rest])
-    place = np.empty(n)
-    place[sample] = rank[sample]
-    place[rest] = before + 0.5
+    before = np.maximum.accumulate(before)  # falls only among suffixes that the first 3 ** depth numbers do not tell apart
     out = np.empty(n, np.int64)
-    out[np.lexsort((key1, place))] = np.arange(n)
+    out[rest] = np.arange(len(rest)) + before
+    out[sample] = rank[sample] - 1 + np.searchsorted(before, rank[sample])
     return out
 
 
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place on, as one number."""
+    w = raw.astype(np.uint64)
+    for width in (1, 2, 4):
+        w = (w[:-width] << np.uint64(8 * width)) | w[width:]
+    return w
+
+
+def same_strings(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at ``a`` and at ``b`` are equal, pair by pair."""
+    same = np.ones(len(a), bool)
+    step, w = (8, words_of(raw)) if length >= 8 else (1, raw)
+    for j in sorted({*range(0, length - step + 1, step), length - step}):
+        live = np.flatnonzero(same)
+        same[live] = w[a[live] + j] == w[b[live] + j]
+    return same
+
+
 def string_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every ``n`` consecutive bytes' hashes, built from powers of two."""
     factor, size = 0xA0761D6478BD642F, len(h) - n + 1
@@ -93,15 +116,28 @@ class Bytes:
     def seeds(self) -> np.ndarray:
         return string_hashes(self.letters, self.seed) if len(self.raw) >= self.seed else np.zeros(0, np.uint64)
 
-    def classes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of the strings at ``starts``, number of each one's class, and the class's first member of the smallest id."""
-        key = string_hashes(self.letters, self.length)[starts]
+    def anchors(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors (smallest grams of some string) among the grams ``g``, and at how many places each one is met."""
+        return np.unique(g[winnow(g, self.window, self.whole) if len(self.whole) else np.zeros(0, np.int64)], return_counts=True)
+
+    def keys(self) -> np.ndarray:
+        return string_hashes(self.letters, self.length)
+
+    def classes(self, key: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each one's class of the strings of hashes ``key`` at ``starts``, and the class's first member of the smallest id."""
         order = np.lexsort((self.doc[self.owner[starts]], key))
         fresh = np.ones(len(order), bool)
         fresh[1:] = key[order][1:] != key[order][:-1]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
-        return key, number, order[fresh]
+        return number, order[fresh]
+
+
+def with_gram(least: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether the smallest gram of each string is one of ``grams``; neighbours mostly share theirs, which is looked up once."""
+    edge = np.ones(len(least), bool)
+    edge[1:] = least[1:] != least[:-1]
+    return among(least[edge], grams)[np.cumsum(edge) - 1] if len(least) else edge
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -120,17 +156,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def find(key, table, told):
         s = Bytes(table, told, length, seed)
-        g = s.seeds()
-        at = winnow(g, s.window, s.whole) if len(s.whole) else np.zeros(0, np.int64)
-        found, n = np.unique(g[at], return_counts=True)
+        found, n = s.anchors(s.seeds())
         return pa.table({"shard": pa.array(np.full(len(found), key[0].as_py(), np.int32)), "h": found.view(np.int64), "n": np.minimum(n, 2).astype(np.int32)})
 
     def stretches(key, table, told):
         s = Bytes(table, told, length, seed)
         starts = np.flatnonzero(s.whole)
         least = sliding(s.seeds(), s.window, np.minimum) if len(starts) else np.zeros(0, np.uint64)
-        starts = starts[among(least[starts], s.told)]
-        starts = np.sort(starts[s.classes(starts)[2]])
+        starts = starts[with_gram(least[starts], s.told)]
+        starts = np.sort(starts[s.classes(s.keys()[starts], starts)[1]])
         edge = np.ones(len(starts), bool)
         edge[1:] = (starts[1:] != starts[:-1] + 1) | (least[starts[1:]] != least[starts[:-1]]) | (s.owner[starts[1:]] != s.owner[starts[:-1]])
         first = np.flatnonzero(edge)
@@ -154,10 +188,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = max(0, len(raw) - length + 1)
         valid = np.flatnonzero(owner[:size] == owner[length - 1:])
         valid = valid[np.argsort(rank[valid + owner[valid]])]
-        same = np.ones(max(0, len(valid) - 1), bool)
-        for j in range(length):
-            live = np.flatnonzero(same)
-            same[live] = raw[valid[1:][live] + j] == raw[valid[:-1][live] + j]
+        same = same_strings(raw, valid[1:], valid[:-1], length)
         group = np.concatenate([[0], np.cumsum(~same)]) if len(valid) else np.zeros(0, np.int64)
         least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, group, smallest[owner[valid]])
@@ -179,19 +210,27 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         s = Bytes(table, told, length, seed)
         gone, starts = np.zeros(len(s.raw), bool), np.flatnonzero(s.whole)
         if len(starts):
-            k, number, first = s.classes(starts)
-            doc = s.doc[s.owner[starts]]
-            late = np.zeros(len(first), bool)
+            # only strings whose smallest gram is met twice here, or that were sent back, are compared with each other
+            g, key = s.seeds(), s.keys()[starts]
+            anchors, times = s.anchors(g)
             order = np.argsort(s.told)
             known, n = s.told[order], s.counts[order]
-            if len(known):  # runs of strings from a class's first member on
+            some = with_gram(sliding(g, s.window, np.minimum)[starts], anchors[times > 1]) | among(key, known)
+            picked, k = starts[some], key[some]
+            number, first = s.classes(k, picked)
+            doc = s.doc[s.owner[picked]]
+            late = np.zeros(len(first), bool)
+            run = np.zeros(len(s.raw), bool)
+            if len(known) and len(first):  # runs of strings from a class's first member on
                 at = np.minimum(np.searchsorted(known, k[first]), len(known) - 1)
                 hit = known[at] == k[first]
                 edge = np.zeros(len(s.raw) + 1, np.int32)
-                np.add.at(edge, starts[first[hit]], 1)
-                np.add.at(edge, starts[first[hit]] + n[at[hit]], -1)
-                late[number[np.cumsum(edge)[starts] > 0]] = True
-            gone = covered(starts[(doc > doc[first][number]) | late[number]], length, len(s.raw))
+                np.add.at(edge, picked[first[hit]], 1)
+                np.add.at(edge, picked[first[hit]] + n[at[hit]], -1)
+                run = np.cumsum(edge[:-1]) > 0
+                late[number[run[picked]]] = True
+            repeats = picked[(doc > doc[first][number]) | late[number]]
+            gone = covered(np.concatenate([repeats, starts[run[starts] & ~some]]), length, len(s.raw))
         if len(s.raw):
             gone |= (s.copy & (s.sizes >= length))[s.owner]
         left = [s.raw[a:b][~gone[a:b]].tobytes() for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist())]
