@@ -5,13 +5,17 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_CHARS = 4 << 20
+from flightline.llm.common import small_batches
+
+BATCH_CHARS = 1 << 20
+KEPT_IDS = 1 << 19  # ids of words that a task keeps for its next texts
 #: Fixed value: how the vocabulary's tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -129,6 +133,7 @@ def first_of_runs(at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
 
 def shared_vocabulary(spark: SparkSession, path: str):
     """The vocabulary as a broadcast; it is a few MB, the size of the tokenizer file."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
@@ -156,10 +161,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         vocab = shared.value
         pieces = regex.compile(PATTERN).findall
         special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")") if vocab.special else None
+        numbers: dict[str, int] = {}
+        ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in _batched([len(t) for t in texts], BATCH_CHARS):
-                numbers: dict[str, int] = {}
+                if len(ids) > KEPT_IDS:
+                    numbers, ids, sizes = {}, ids[:0], sizes[:0]
                 words, counts = [], []
                 for t in texts[lo:hi]:
                     n = len(words)
@@ -169,11 +177,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     else:
                         words.extend([numbers.setdefault(w, len(numbers)) for w in pieces(t)])
                     counts.append(len(words) - n)
-                alone = {i: vocab.special[w[8:]] for w, i in numbers.items() if w.startswith("\0special") and w[8:] in vocab.special}
-                ids, sizes = vocab.encode([b" " if i in alone else w.encode("utf-8", "surrogatepass") for w, i in numbers.items()])
-                begins = np.cumsum(sizes) - sizes
+                fresh = list(islice(numbers, len(sizes), None))
+                alone = {i: vocab.special[w[8:]] for i, w in enumerate(fresh) if w.startswith("\0special") and w[8:] in vocab.special}
+                more, each = vocab.encode([b" " if i in alone else w.encode("utf-8", "surrogatepass") for i, w in enumerate(fresh)])
+                at = np.cumsum(each) - each
                 for i, token in alone.items():
-                    ids[begins[i]] = token
+                    more[at[i]] = token
+                ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, each])
+                begins = np.cumsum(sizes) - sizes
                 which = np.array(words, np.int64)
                 each = sizes[which]
                 flat = ids[np.arange(int(each.sum())) + np.repeat(begins[which] - (np.cumsum(each) - each), each)].astype(np.int32)

@@ -15,6 +15,7 @@ from flightline.runtime import workspace
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 SHARD_BYTES = 8 << 20  # text that one Python call holds; a longer single text is held whole
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 CHUNK_BYTES = 2 << 20  # text that one round of numpy arrays covers
 
 
@@ -29,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand Python no more than ``BATCH_ROWS`` rows or ``BATCH_BYTES`` at once; workers keep the memory of their largest batch for later jobs."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; ``lower`` is the fast way where a text has no other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightline.llm.common import mixed
+from flightline.llm.common import mixed, small_batches
 
 DIMENSIONS = 2048
 UNKNOWN = "und"
-CHARS = 1 << 20  # characters that one round of numpy arrays covers
+CHARS = 1 << 18  # characters that one round of numpy arrays covers
 BITS = np.uint64(21)  # a code point fits in so many bits
 
 
@@ -118,6 +118,7 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dimensions: int =
                                          schema=pa.schema([("lang", pa.string()), ("trigrams", pa.int64()), ("vector", pa.list_(pa.int64()))]))
 
     schema = "lang string, trigrams long, vector array<long>"
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     parts = known.mapInArrow(bundle, schema).repartition(32).mapInArrow(add_up, schema)
     sums = parts.select("lang", "trigrams", F.posexplode("vector").alias("place", "value")).groupBy("lang", "place").agg(
