@@ -25,7 +25,11 @@ def odd_texts():
                    "the " * 20000]
 
 
-def test_same_as_the_library(spark, library):
+@pytest.mark.parametrize("chars, kept", [(bpe.BATCH_CHARS, bpe.KEPT_IDS), (300, 200)])
+def test_same_as_the_library(spark, library, monkeypatch, chars, kept):
+    """Also where a batch is split often, and the words kept from earlier texts are forgotten and learned again."""
+    monkeypatch.setattr(bpe, "BATCH_CHARS", chars)
+    monkeypatch.setattr(bpe, "KEPT_IDS", kept)
     texts = odd_texts()
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(len(texts), None, "y")], "doc_id long, text string, ids string")
     path = tokenizer_file()
