@@ -1,14 +1,19 @@
-"""Licence scans: TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory."""
+"""Licence scans: TF-IDF cosine of windows of words to templates, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Hashable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightline.llm.common import stored
+from flightline.llm.licence_texts import PASSAGES
+
 THRESHOLD = 0.8
 SPLIT = r"[^a-z0-9.]+"
 #: Short statements by which texts name a licence.
@@ -18,64 +23,113 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
 }
+#: These statements with the headers and licence texts.
+LICENCES = {n: ((TEMPLATES[n],) if n in TEMPLATES else ()) + PASSAGES.get(n, ()) for n in sorted({*TEMPLATES, *PASSAGES})}
+SPAN = 256  # words of a piece
+STEMS = ("licen", "permission", "redistribut", "creative commons")
+
 
+def weights(templates: Mapping[Hashable, str]) -> tuple[dict[str, float], float, dict[Hashable, dict[str, float]]]:
+    """Inverse template frequency of each term, that of a term of no template, and each template's unit vector.
 
-def weights(templates: Mapping[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """Inverse template frequency of each term, that of a term of no template, and each template's unit vector."""
-    import re
-    bags = {n: Counter(w.strip(".") for w in re.split(SPLIT, t.lower()) if w.strip(".")) for n, t in templates.items()}
+    No weight is below 1, so that among many templates a statement of few words does not hang on its rarest one.
+    """
+    bags = {n: Counter(words(t)) for n, t in templates.items()}
     df = Counter(w for b in bags.values() for w in b)
-    idf = {w: math.log(1 + len(bags) / n) for w, n in df.items()}
+    idf = {w: 1 + math.log((1 + len(bags)) / (1 + n)) for w, n in df.items()}
     units = {}
     for n, b in bags.items():
         v = {w: c * idf[w] for w, c in b.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         units[n] = {w: x / norm for w, x in v.items()}
-    return idf, math.log(1 + 2 * len(bags)), units
+    return idf, 1 + math.log(1 + len(bags)), units
 
 
-def possible(t: Column, units: Mapping[str, Mapping[str, float]], threshold: float) -> Column:
+def possible(t: Column, units: Mapping[Hashable, Mapping[str, float]], threshold: float) -> Column:
     """Whether the cosine of ``t`` with some template can reach ``threshold``: it is at most the length of the template's part in the terms found."""
     mass = [sum((F.when(F.contains(t, F.lit(w)), F.lit(x * x)).otherwise(F.lit(0.0)) for w, x in sorted(u.items())), F.lit(0.0)) for u in units.values()]
     return (F.greatest(*mass) if len(mass) > 1 else mass[0]) >= threshold * threshold - 1e-6
 
 
-def stated(files: DataFrame, path_col: str, text_col: str, templates: Mapping[str, str], threshold: float) -> DataFrame:
-    """(path, licence, score): the best template for any line of a file, where its cosine reaches ``threshold``; ties to the name first in order.
+def words(text: str) -> list[str]:
+    return [w for w in (x.strip(".") for x in re.split(SPLIT, text.lower())) if w]
+
+
+def literal(pairs: Sequence[tuple[str, str]]) -> str:
+    """A map as SQL: one call instead of one for every entry."""
+    return f"map({', '.join(f'{k}, {v}' for k, v in pairs)})"
+
+
+def anchors(bag: Sequence[str], unit: Mapping[str, float], threshold: float) -> list[int]:
+    """Places of a template's heaviest terms, at least three; windows without any of these terms can't reach ``threshold``."""
+    chosen, mass = set(), 0.0
+    for w, x in sorted(unit.items(), key=lambda v: (-v[1], v[0])):
+        if len(chosen) >= 3 and mass > 1 - threshold * threshold + 1e-6:
+            break
+        chosen.add(w)
+        mass += x * x
+    return [i for i, w in enumerate(bag) if w in chosen]
+
+
+def stated(files: DataFrame, path_col: str, text_col: str, templates: Mapping[str, str | Sequence[str]], threshold: float) -> DataFrame:
+    """(path, licence, score): the best template for any window of a file, where its cosine reaches ``threshold``; ties to the name first in order.
 
-    Texts and then lines that hold too few of any template's terms are left by a search for substrings, before they are split.  A cosine is also at most
-    the share of a line's length that lies in template terms.  Equal lines of one path are one.
+    A file is one run of words; line ends and comment marks split nothing.  Windows have as many consecutive words as the template and are laid so that one of
+    the template's heaviest terms stands where the template has it; at the ends of a file they move inwards, and a file shorter than a template is scored whole.
+    Texts are left by a search for substrings if they hold none of ``STEMS``, and too few of the terms of each of the short statements and of each template that
+    has no such stem itself.  A cosine is at most the length of the template's part in a window's terms.  Equal windows of one path are one.
     """
-    spark = files.sparkSession
-    idf, other, units = weights(templates)
-    known = F.create_map(*[x for w, v in sorted(idf.items()) for x in (F.lit(w), F.lit(v))])
-    can = lambda t: possible(t, units, threshold)
+    passages = {(n, i): p for n, t in templates.items() for i, p in enumerate([t] if isinstance(t, str) else t)}
+    idf, other, units = weights(passages)
+    bags = {k: words(p) for k, p in passages.items()}
+    keys = sorted(passages)
+    bound = {k: units[k] for k in keys if passages[k] in TEMPLATES.values() or not any(s in passages[k].lower() for s in STEMS)}
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    lines = files.filter(F.exists(F.array(lower), can)).select(F.col(path_col).alias("path"), F.explode(F.filter(F.split(lower, "\n"), can)).alias("t"))
-    lines = lines.withColumn("w", F.filter(F.transform(F.split("t", SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != ""))
-    lines = lines.withColumn("m", F.filter("w", lambda w: w.isin(*sorted(idf)))).filter(F.size("m") > 0)
-    # a repeated term weighs with its square; terms of no template count at least once each
-    inner = F.aggregate(F.array_distinct("m"), F.lit(0.0), lambda s, w: s + F.pow(F.element_at(known, w) * F.size(F.filter("m", lambda x: x == w)), 2))
-    foreign = F.array_distinct(F.filter("w", lambda w: ~w.isin(*sorted(idf))))
-    outer = F.aggregate(foreign, F.lit(0.0), lambda s, w: s + F.pow(F.lit(other) * F.size(F.filter("w", lambda x: x == w)), 2))
-    floor = F.col("inner") + other * other * (F.size("w") - F.size("m"))
-    lines = lines.withColumn("inner", inner).filter(F.col("inner") >= threshold * threshold * floor).select("path", "t", "m", F.sqrt(F.col("inner") + outer).alias("norm")).distinct()
-    terms = lines.select("path", "t", "norm", F.explode("m").alias("term")).withColumn("tf", F.element_at(known, F.col("term")))
-    table = spark.createDataFrame([(n, w, x) for n, u in sorted(units.items()) for w, x in sorted(u.items())], "licence string, term string, unit double")
-    scores = terms.join(table, "term").groupBy("path", "t", "licence").agg((F.sum(F.col("tf") * F.col("unit")) / F.max("norm")).alias("score"))
-    good = scores.withColumn("score", F.round("score", 9)).filter(F.col("score") >= threshold)
+    gates = [lambda t, s=s: F.contains(t, F.lit(s)) for s in STEMS] * (len(bound) < len(keys)) + [lambda t: possible(t, bound, threshold)] * bool(bound)
+    # an array of one, so that the text is put into lower case once
+    some = files.filter(F.exists(F.array(lower), lambda t: reduce(Column.__or__, [g(t) for g in gates]))).select(F.col(path_col).alias("path"), lower.alias("t"))
+    some = some.withColumn("w", F.filter(F.transform(F.split("t", SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")).select("path", "w")
+    # long files in pieces, each with the words around it that its windows need, as every window comes from a row that holds its piece
+    most = max(map(len, bags.values()))
+    piece = lambda c: F.slice("w", F.greatest(c * SPAN - most, F.lit(0)) + 1, SPAN + 2 * most)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / SPAN).cast("int")), lambda c: F.struct((c * SPAN).alias("lo"), piece(c).alias("w")))
+    some = some.filter(F.size("w") > 0).select("path", F.size("w").alias("n"), F.explode(cuts).alias("_c")).select("path", "n", "_c.lo", "_c.w")
+    some = some.withColumn("base", F.greatest(F.col("lo") - most, F.lit(0)))
+    places: dict[str, list[str]] = {}
+    for n, k in enumerate(keys):
+        for i in anchors(bags[k], units[k], threshold):
+            places.setdefault(bags[k][i], []).append(f"struct({n + 1} AS k, {i} AS o)")
+    at = F.expr(literal([(f"'{w}'", f"array({', '.join(v)})") for w, v in sorted(places.items())]))
+    met = F.filter(F.transform("w", lambda w, i: F.struct((i + F.col("base")).alias("i"), F.try_element_at(at, w).alias("h"))),
+                   lambda x: x["h"].isNotNull() & x["i"].between(F.col("lo"), F.col("lo") + SPAN - 1))
+    laid = F.flatten(F.transform(met, lambda x: F.transform(x["h"], lambda h: F.struct(h["k"].alias("k"), (x["i"] - h["o"]).alias("from")))))
+    size = F.element_at(F.expr(f"array({', '.join(str(len(bags[k])) for k in keys)})"), F.col("k"))
+    windows = some.select("path", "n", "base", "w", F.explode(laid).alias("_l")).select("path", "n", "base", "w", "_l.k", "_l.from")
+    windows = windows.select("path", "k", F.slice("w", F.greatest(F.least("from", F.col("n") - size), F.lit(0)) - F.col("base") + 1, size).alias("s")).distinct()
+    unit = F.element_at(F.expr(f"array({', '.join(literal([(repr(w), f'{x!r}D') for w, x in sorted(units[k].items())]) for k in keys)})"), F.col("k"))
+    windows = windows.withColumn("u", unit).withColumn("d", F.array_distinct("s"))
+    shared = F.aggregate("d", F.lit(0.0), lambda m, w: m + F.pow(F.coalesce(F.try_element_at("u", w), F.lit(0.0)), 2))
+    windows = windows.filter(shared >= threshold * threshold - 1e-6)
+    known = F.expr(literal([(f"'{w}'", f"{v!r}D") for w, v in sorted(idf.items())]))
+    weight = lambda w: F.size(F.filter("s", lambda x: x == w)) * F.coalesce(F.try_element_at(known, w), F.lit(other))
+    windows = windows.withColumn("v", F.transform("d", lambda w: F.struct(weight(w).alias("x"), F.coalesce(F.try_element_at("u", w), F.lit(0.0)).alias("y"))))
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda m, e: m + f(e))
+    score = F.round(total(lambda e: e["x"] * e["y"]) / F.sqrt(total(lambda e: e["x"] * e["x"])), 9)
+    name = F.element_at(F.array(*[F.lit(k[0]) for k in keys]), F.col("k"))
+    good = windows.select("path", name.alias("licence"), score.alias("score")).filter(F.col("score") >= threshold)
     return good.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
-def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Mapping[str, str | Sequence[str]] = LICENCES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per file: ``path, licence, score, inherited_from``.
 
-    A file has the licence that one of its lines states.  Otherwise it takes that of the nearest directory above it (its own first) in which a file states one; of
+    A file has the licence that one of its windows of words states.  Otherwise it takes that of the nearest directory above it (its own first) in which a file states one; of
     several there the one whose file comes first by name.  ``inherited_from`` is that directory, null for own licences; all three null where nothing is found.
     Null or empty texts state nothing; a null path has no directories; rows that repeat a path share what any of them states.  Other columns are not read.
     Each file is joined with the directories above it, whose number is the depth of its path; directories that state something are one row each.
+    What files state is found once and stored.
     """
-    own = stated(files, path_col, text_col, templates, threshold)
+    own = stored(stated(files, path_col, text_col, templates, threshold), "stated")
     folder = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, "/[^/]*$", "")).otherwise(F.lit(""))
     above = own.filter("path IS NOT NULL").withColumn("dir", folder(F.col("path"))).groupBy("dir").agg(F.min_by("licence", "path").alias("_licence"), F.min_by("score", "path").alias("_score"))
     paths = files.select(F.col(path_col).alias("path")).distinct()

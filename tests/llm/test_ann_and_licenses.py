@@ -56,3 +56,16 @@ def test_every_stated_licence_is_found(spark):
         own = want[int(r["path"].split("/")[-1])]
         if own:
             assert r["licence"] in own and r["inherited_from"] is None and r["score"] > 0.999
+
+
+def test_headers_whole_licences_and_wrapped_statements(spark):
+    from flightline.llm.licence_texts import PASSAGES
+    rows = [(f"{n}/{i}", "Copyright 2020 Somebody\n\n" + "\n".join(f" * {x}" for x in p.split("\n"))) for n, t in PASSAGES.items() for i, p in enumerate(t)]
+    want = {path: path.split("/")[0] for path, _ in rows}
+    odd = {"w1": ("MIT", "Code released under the MIT License."), "w2": ("MIT", "This file is released\n# under the MIT\n# License. See below."),
+           "w3": ("MIT", PASSAGES["MIT"][0].replace("AUTHORS OR COPYRIGHT HOLDERS", "Example Corporation")), "w4": ("BSD-3-Clause", PASSAGES["BSD-3-Clause"][0].replace("copyright holder", "University")),
+           "w5": ("GPL-3.0", "word " * 300 + PASSAGES["GPL-3.0"][0] + " word" * 300), "w6": (None, "permission to license a redistribution of words " * 40)}
+    files = spark.createDataFrame(rows + [(f"{k}/f", t) for k, (_, t) in odd.items()], "path string, text string")
+    want.update({f"{k}/f": n for k, (n, _) in odd.items()})
+    got = {r["path"]: (r["licence"], r["inherited_from"]) for r in licences(files).collect()}
+    assert got == {p: (n, None) for p, n in want.items()}
