@@ -10,6 +10,7 @@ from flightline.llm.common import stored
 from flightline.llm.queries import tokenizer_file
 
 SEED = "mix"
+WORDS, PERCENT = 5, 80  # near copies of this stage; the query op9 has limits of its own
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that reach each other by near-copy links the one with the smallest id stays."""
-    found = jaccard_join.component_ids(jaccard_join.similar_sets(docs))
+    found = jaccard_join.component_ids(jaccard_join.similar_sets(docs, size=WORDS, percent=PERCENT))
     kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
     return docs.filter("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
 

@@ -37,3 +37,11 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in final.collect()) == Counter({i: n for i, n in times.items() if n})
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, docs.limit(0), folder).collect() == []
+
+
+def test_near_copies_share_four_fifths_of_their_five_word_shingles(spark):
+    words = [f"word{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], *"vwxyz", *words[55:]])), (3, " ".join([*words[:50], *(f"new{i}" for i in range(8)), *words[58:]]))]
+    found = corpus_pipeline.stages.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    # of 96 shingles each, 1 and 2 share 87 of 105; 1 and 3 share 84 of 108
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]
