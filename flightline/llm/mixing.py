@@ -66,34 +66,34 @@ def scheduled_slots(sources: DataFrame, total: int, block: int) -> DataFrame:
     return ranked.select("a.source", (F.col("earlier") + F.col("r")).alias("rank"))
 
 
-def shuffled_starts(rows: DataFrame, seed: str) -> DataFrame:
+def shuffled_starts(rows: DataFrame, seed: str, carried: Sequence[str] = ()) -> DataFrame:
     """Adds ``start``: where a document's words begin in its source's shuffled stream; summed over buckets of the shuffle, then within."""
     rows = rows.withColumn("_h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))).withColumn("_b", F.substring("_h", 1, 3))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n")).select(
         F.col("source").alias("_s"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(buckets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_bb")))
-    return rows.select("doc_id", "source", "size", (F.col("_earlier") + F.col("_within")).alias("start"))
+    return rows.select("doc_id", "source", "size", *carried, (F.col("_earlier") + F.col("_within")).alias("start"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS,
-        most: int = EPOCHS, block: int = BLOCK, seed: str = "mix") -> DataFrame:
+        most: int = EPOCHS, block: int = BLOCK, seed: str = "mix", carried: Sequence[str] = ()) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``.
 
     A source's documents, in an order shuffled by ``seed``, make a stream of words that is cut into blocks of ``block`` words and may be gone
     through ``most`` times.  Slot number r of a source takes its block number r, so a source's taken words differ from its target by the
     schedule's discrepancy, a few blocks.  Null text has size 0, texts without words take nothing, a null source is a source of its own
     (last by name).  Rows that repeat are separate documents.  No words at all: every target and ``taken`` is 0.  The table of sources, one
-    row each, is taken to be short.  Other columns are not read.
+    row each, is taken to be short.  ``carried`` columns are kept in the result and order rows of one id and size; others are not read.
     """
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *carried), "sizes")
     sources = stored(source_targets(rows, weights, most), "sources")
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
     slots = scheduled_slots(sources, total, block).select(F.coalesce("source", F.lit("")).alias("_slot_source"), F.col("source").isNull().alias("_slot_null"), F.col("rank").alias("_slot"))
     named = sources.select(F.col("source").alias("_src"), "source_size", "target")
-    laid = shuffled_starts(rows, seed).join(named, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    laid = shuffled_starts(rows, seed, carried).join(named, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     rounds = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size"))
     pieces = laid.filter("size > 0").withColumn("_from", F.explode(rounds)).withColumn("_to", F.col("_from") + F.col("size"))
     pieces = pieces.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     took = met.groupBy("source", "start").agg(F.sum("_words").alias("taken")).select(F.col("source").alias("_s"), F.col("start").alias("_at"), "taken")
     # a place in a source's stream belongs to one document, as those without words take none
     out = laid.join(took, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_at")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *carried)
 
 
 MIX_SQL = f"""

@@ -13,32 +13,41 @@ SEED = "mix"
 WORDS, PERCENT = 5, 80  # near copies of this stage; the query op9 has limits of its own
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, stored once with a hash of each and a number that only one has: ids may be null or repeat, with equal or with different texts."""
+    return stored(docs.withColumns({"_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(*docs.columns), "_row": F.monotonically_increasing_id()}), name)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told go on; texts that are null or without a letter are rejected."""
-    told = stored(language_id.identify(docs, language_id.fold("doc_id", 4) != 2).filter(F.col("lang_pred") != language_id.UNKNOWN).select("doc_id").distinct(), "told")
-    return docs.join(told, docs["doc_id"].eqNullSafe(told["doc_id"]), "left_semi").filter("text IS NOT NULL")
+    rows = numbered(docs, "rows")
+    told = language_id.identify(rows, language_id.fold("doc_id", 4) != 2, "_row").filter(F.col("lang_pred") != language_id.UNKNOWN)
+    return rows.join(stored(told.select(F.col("doc_id").alias("_row")), "told"), "_row", "left_semi").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z in lower case) the largest id stays; rows without an id are not compared by it and stay."""
-    found = exact_dedup.exact_groups(docs)
-    kept = stored(found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    return docs.filter("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
+    """One row of equal texts (A-Z in lower case) stays, that of the largest id; a null id is smaller than any."""
+    rows = numbered(docs, "rows")
+    found = exact_dedup.exact_groups(rows.withColumn("_key", F.struct("doc_id", "_hash", "_row")), "_key")
+    kept = stored(found.filter("kept").select("doc_id._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that reach each other by near-copy links the one with the smallest id stays."""
-    found = jaccard_join.component_ids(jaccard_join.similar_sets(docs, size=WORDS, percent=PERCENT))
-    kept = stored(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    return docs.filter("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
+    """Of rows that reach each other by near-copy links one stays, that of the smallest id; one without an id only where none has an id."""
+    rows = numbered(docs, "rows")
+    sets = jaccard_join.similar_sets(rows.withColumn("_key", F.struct("_none", "doc_id", "_hash", "_row")), "_key", size=WORDS, percent=PERCENT)
+    kept = stored(jaccard_join.component_ids(sets).filter("doc_id._row = component_id._row").select("doc_id._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words: whole passes, and one more where at least half of the rest is taken; none: it goes."""
-    taken = mixing.mix(docs, seed=SEED).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    times = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
-    repeats = stored(taken.filter("_size > 0").withColumn("_times", times).filter("_times > 0").select(F.col("doc_id").alias("_id"), "_times"), "repeats")
-    return docs.join(repeats, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each row as often as the mix takes its words: whole passes, and one more where at least half of the rest is taken; none: it goes."""
+    rows = numbered(docs, "rows")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mixing.mix(rows, seed=SEED, carried=("_hash", "_row")).filter("size > 0").select("_row", times.alias("_times"))
+    repeats = stored(taken.filter("_times > 0"), "repeats")
+    return rows.join(repeats, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,22 @@ def test_near_copies_share_four_fifths_of_their_five_word_shingles(spark):
     found = corpus_pipeline.stages.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     # of 96 shingles each, 1 and 2 share 87 of 105; 1 and 3 share 84 of 108
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]
+
+
+def test_repeated_rows_repeated_ids_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    close = long.replace("w59", "other")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    row = lambda i, t, s="a": (i, t, "en", s, len(t))
+    left = lambda f, rows: sorted(((r["doc_id"], r["text"]) for r in f(spark, frame(rows), "").collect()), key=repr)
+    odd = [row(1, "same words"), row(1, "same words"), row(2, "old text"), row(2, "New"), row(3, "OLD text"), row(None, "new"), row(None, "alone"), row(None, "alone")]
+    assert left(corpus_pipeline.stages.exact_copies, odd) == sorted([(1, "same words"), (2, "New"), (3, "OLD text"), (None, "alone")], key=repr)
+    odd = [row(4, long), row(4, long), row(5, close), row(5, "quite another text of few words"), row(None, long), row(None, "no id one two three"), row(None, "no id one two three")]
+    assert left(corpus_pipeline.stages.near_copies, odd) == sorted([(4, long), (5, "quite another text of few words"), (None, "no id one two three")], key=repr)
+    assert left(corpus_pipeline.stages.languages, [row(6, "one two"), row(6, "12 34"), row(None, "three"), row(None, "5")]) == sorted([(6, "one two"), (None, "three")], key=repr)
+    # the first source is to have most of the words, at most three times its own; the second gives few of its
+    odd = [row(7, "x y " * 40), row(7, "z " * 30, "b"), row(None, "u " * 50), row(None, "v " * 700, "b"), row(8, "t " * 90, "b")]
+    mixed = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.stages.mixture(spark, frame(odd), "").collect())
+    want = {(r["doc_id"], r["size"]): int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(frame(odd)).collect()}
+    assert mixed == Counter({(i, t): want[i, len(t.split())] for i, t, *_ in odd if want[i, len(t.split())]})
+    assert len({want[7, 80], want[7, 30]}) == 2
