@@ -44,13 +44,19 @@ def st03(spark, sf):
     return out.select("user_id", "event_type")
 
 
+def sightings(e: DataFrame) -> DataFrame:
+    """Events as sightings; an hour is a frame."""
+    return e.select(F.col("user_id").alias("video"), F.col("event_id").alias("seq"), "ts", F.floor(F.unix_micros("ts") / 3.6e9).alias("frame"),
+                    ((F.col("event_id") * 37) % 500).cast("double").alias("x"), F.col("value").alias("y"), ((F.col("event_id") % 100) / 100.0).alias("conf"))
+
+
 @query("t02_streaming_tracks")
 def t02(spark, sf):
-    from flightline.plans.track_queries import FAST, RADIUS
-    e = jobs.read_events(spark, sf)
-    d = e.select(F.col("user_id").alias("video"), F.col("event_id").alias("seq"), "ts", F.floor(F.unix_micros("ts") / 3.6e9).alias("frame"),
-                 ((F.col("event_id") * 37) % 500).cast("double").alias("x"), F.col("value").alias("y"), ((F.col("event_id") % 100) / 100.0).alias("conf"))
-    return jobs.run_to_table(jobs.stream_tracks(d, RADIUS, "2 hours", FAST), "tracks")
+    """The tracks of the whole table, so that its last frames and the least length count; tests hold the streaming run against it."""
+    from flightline.operators.tracking import build_tracks
+    from flightline.plans.track_queries import FAST, FRAMES, RADIUS
+    rows = sightings(event_table(spark, sf)).withColumn("radius", F.lit(RADIUS))
+    return build_tracks(rows, FRAMES, FAST).select("video", "seq", "track_id")
 
 
 @query("s09_guarded_scan", "SELECT event_id, user_id, value FROM events WHERE value>=5")

@@ -75,6 +75,7 @@ def stream_tracks(stream: DataFrame, radius: float, delay: str, params: Tracker
     """The tracker as arbitrary state: open tracks, plus the sightings of frames that may still grow.
 
     A frame is used once the watermark has passed it, so out-of-order rows inside ``delay`` land in their frame.
+    Links go out as they are made: frames behind the last watermark wait for later rows, and tracks shorter than ``min_track`` are not left out.
     """
     p = params or Tracker()
 

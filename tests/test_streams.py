@@ -28,3 +28,26 @@ def test_folds_are_stratified(spark):
         sizes = [n[y, k] for k in range(5)]
         assert max(sizes) - min(sizes) <= 1
     assert sum(n.values()) == 1003
+
+
+def test_tracks_of_the_whole_table(spark):
+    from dataclasses import replace
+
+    from flightline.operators.tracking import build_tracks
+    from flightline.plans.catalog import QUERIES
+    from flightline.plans.stream_queries import sightings
+    from flightline.plans.track_queries import FAST, FRAMES, RADIUS
+    d = sightings(event_table(spark, FOLDER)).withColumn("radius", F.lit(RADIUS))
+    every = build_tracks(d, FRAMES, replace(FAST, min_track=1)).select("video", "seq", "track_id", "frame", F.unix_millis("ts").alias("ms")).collect()
+    assert len(every) == d.count()
+    size = {}
+    for r in every:
+        size[r["video"], r["track_id"]] = size.get((r["video"], r["track_id"]), 0) + 1
+    want = {(r["video"], r["seq"], r["track_id"]) for r in every if size[r["video"], r["track_id"]] >= FAST.min_track}
+    got = [tuple(r) for r in QUERIES["t02_streaming_tracks"](spark, FOLDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # a stream gives the links of the frames that its last watermark has closed
+    mark = max(r["ms"] for r in every) - 2 * 3600 * 1000
+    open_frames = {(r["video"], r["frame"]) for r in every if r["ms"] >= mark}
+    links = jobs.run_to_table(jobs.stream_tracks(sightings(jobs.read_events(spark, FOLDER)), RADIUS, "2 hours", FAST), "tracks").collect()
+    assert {tuple(r) for r in links} == {(r["video"], r["seq"], r["track_id"]) for r in every if (r["video"], r["frame"]) not in open_frames}
