@@ -277,7 +277,7 @@ def e22(spark, sf):
 
 @query("e23_gradient_boosting")
 def e23(spark, sf):
-    return md.scores(md.out_of_fold(md.folds(model_rows(spark, sf), ["rid"], 2), lambda n: md.boosting(5), 2))
+    return md.scores(md.out_of_fold(md.folds(model_rows(spark, sf), ["rid"], 5), lambda n: md.boosting(200), 5))
 
 
 @query("e24_strongest_signals")
@@ -297,7 +297,7 @@ def e25(spark, sf):
 
 @query("e26_learning_curve")
 def e26(spark, sf):
-    return md.learning_curve(model_rows(spark, sf), ["rid"], md.logistic, (0.5, 1.0), 1, 2)
+    return md.learning_curve(model_rows(spark, sf), ["rid"], md.logistic, (0.25, 0.5, 0.75, 1.0), 8, 5)
 
 
 @query("e28_pca_logistic")
