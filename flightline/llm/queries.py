@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightline.llm import ann, bpe, exact_dedup, jaccard_join, language_id, licenses, lm, mixing, substring_dedup, suffix_dedup
+from flightline.llm import alignment, ann, bpe, exact_dedup, jaccard_join, language_id, licenses, lm, mixing, phrases, substring_dedup, suffix_dedup, token_counts
 from flightline.llm.common import read
-from flightline.runtime import prepare
+from flightline.runtime import prepare, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,9 +25,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op2_mix_sources", mixing.MIX_SQL)
@@ -88,3 +88,19 @@ def _(spark, folder):
 @query("op7_suffix_dedup")
 def _(spark, folder):
     return suffix_dedup.digests(suffix_dedup.repeated_bytes(read(spark, folder, "documents")))
+
+
+@query("op11_collocations", phrases.PHRASE_SQL)
+def _(spark, folder):
+    return phrases.collocations(read(spark, folder, "documents"))
+
+
+@query("op12_token_alignment")
+def _(spark, folder):
+    return alignment.aligned(read(spark, folder, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op13_token_counts")
+def _(spark, folder):
+    """With a cache of its own for each run, so every distinct text is encoded here; a lasting one is ``cache`` of the operator."""
+    return token_counts.token_counts(read(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), workspace(spark, "token-counts"))
