@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from flightline.llm.bpe import byte_letters
 from flightline.llm.common import small_batches, stored
 
 BLOCK_CHARS = 8 << 20  # text whose stretches make one block; a longer single text is held whole
-KEPT = 400_000  # stretches that a task keeps encoded for its next blocks
+KEPT = 300_000  # stretches that a task keeps encoded for its next blocks
+AT_ONCE, TOGETHER = 20_000, 500  # stretches that one round of arrays covers, and that go to A as one text
 #: A space beside anything but letters, digits and visible ASCII is no place to cut a text into stretches.
 UNSURE = re.compile(r"^(?![\w!-~])|(?<![\w!-~]) | (?![\w!-~])|^ ")
 DOCUMENT, BLOCK, VECTOR = 0, 1, 2
@@ -104,27 +105,26 @@ class Pair:
         segment, and a group is what lies between two ends that both have.  ``same``: A ids of groups of one token each whose B id is that of
         the same bytes; ``pairs``: all other links as ``a * B's size + b``.
         """
-        texts = [" " + s for s in stretches]
-        raw = [t.encode() for t in texts]
-        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        raw = [b" " + s.encode() for s in stretches]
         sizes = np.array([len(t) for t in raw], np.int64)
-        listed_a = [e.ids for e in encode(texts, add_special_tokens=False)]
+        ids_a, many_a = self._first_ids(stretches, sizes)
         listed_b = self.b.encode(stretches, out_type=int, add_bos=False, add_eos=False, num_threads=1)
-        many_a, many_b = np.array([len(x) for x in listed_a], np.int64), np.array([len(x) for x in listed_b], np.int64)
-        ids_a = np.fromiter(chain.from_iterable(listed_a), np.int64, int(many_a.sum()))
+        many_b = np.array([len(x) for x in listed_b], np.int64)
         ids_b = np.fromiter(chain.from_iterable(listed_b), np.int64, int(many_b.sum()))
         good = self._spelt_right(raw, sizes, ids_a, many_a, self.a_spelt) & self._spelt_right(raw, sizes, ids_b, many_b, self.b_spelt)
         ids_a, ids_b = ids_a[np.repeat(good, many_a)], ids_b[np.repeat(good, many_b)]
         many_a, many_b = many_a * good, many_b * good
         end_a, end_b = np.cumsum(self.a_spelt[0][ids_a]), np.cumsum(self.b_spelt[0][ids_b])
-        cuts = np.union1d(end_a, end_b)  # one link ends at each
-        a_of, b_of = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        shared = (end_a[a_of] == cuts) & (end_b[b_of] == cuts) if len(cuts) else np.zeros(0, bool)
         stops = np.cumsum(sizes * good)
-        links = np.searchsorted(cuts, stops, side="right")
-        links = np.diff(links, prepend=0)
+        in_a, in_b = np.zeros((2, int(stops[-1]) + 1 if len(stops) else 1), bool)
+        in_a[end_a], in_b[end_b] = True, True
+        cuts = np.flatnonzero(in_a | in_b)  # one link ends at each
+        of_a, of_b, of_both = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b, np.cumsum(in_a & in_b)
+        a_of, b_of = of_a[cuts], of_b[cuts]
+        shared = (in_a & in_b)[cuts]
+        links = np.diff(np.cumsum(in_a | in_b)[stops], prepend=0)
         group = np.cumsum(shared) - shared
-        a_group, b_group = np.searchsorted(cuts[shared], end_a), np.searchsorted(cuts[shared], end_b)
+        a_group, b_group = of_both[end_a] - in_b[end_a], of_both[end_b] - in_a[end_b]
         groups = summed(shared.astype(np.int64), links)
         per_group = int(shared.sum())
         a_in, b_in = np.bincount(a_group, minlength=per_group), np.bincount(b_group, minlength=per_group)
@@ -134,6 +134,29 @@ class Pair:
         return {"good": good, "n_a": many_a, "n_b": many_b, "n_groups": groups, "n_links": links, "groups": self._written(ids_a, a_group, a_in, many_a, ids_b, b_group, b_in, many_b),
                 "same": found_a[same], "n_same": summed(same.astype(np.int64), links), "pairs": (found_a * self.n_b + found_b)[~same], "n_pairs": summed((~same).astype(np.int64), links)}
 
+    def _first_ids(self, stretches: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all stretches, end to end, and how many each has.  Stretches that begin and end surely are encoded as one text."""
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        texts, together = [], 0
+        for s in stretches:
+            if s and sure(s[0]) and sure(s[-1]):
+                if together % TOGETHER:
+                    texts[-1].append(s)
+                else:
+                    texts.append([s])
+                together += 1
+            else:
+                texts.append([s])
+                together = 0
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encode([" " + " ".join(t) for t in texts], add_special_tokens=False)), np.int64)
+        ends, stops = np.cumsum(self.a_spelt[0][ids]), np.cumsum(sizes)
+        at = np.searchsorted(ends, stops)
+        if len(ends) and ends[-1] == stops[-1] and np.array_equal(ends[at], stops):
+            return ids, np.diff(at + 1, prepend=0)
+        listed = [e.ids for e in encode([" " + s for s in stretches], add_special_tokens=False)]
+        many = np.array([len(x) for x in listed], np.int64)
+        return np.fromiter(chain.from_iterable(listed), np.int64, int(many.sum())), many
+
     @staticmethod
     def _spelt_right(raw: list[bytes], sizes: np.ndarray, ids: np.ndarray, many: np.ndarray, spelt) -> np.ndarray:
         lengths, begins, letters = spelt
@@ -179,12 +202,13 @@ class Known:
         self.same, self.pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def learn(self, pair: Pair, stretches: list[str]) -> None:
-        got = pair.align(stretches)
-        self.groups += got["groups"]
-        self.counts = np.concatenate([self.counts, np.stack([got["n_a"], got["n_b"], got["n_groups"], got["n_links"]], 1)])
-        self.good = np.concatenate([self.good, got["good"]])
-        self.same = np.concatenate([self.same[0], got["same"]]), np.concatenate([self.same[1], got["n_same"]])
-        self.pairs = np.concatenate([self.pairs[0], got["pairs"]]), np.concatenate([self.pairs[1], got["n_pairs"]])
+        parts = [pair.align(stretches[lo:lo + AT_ONCE]) for lo in range(0, len(stretches), AT_ONCE)]
+        for got in parts:
+            self.groups += got["groups"]
+        self.counts = np.concatenate([self.counts, *[np.stack([got["n_a"], got["n_b"], got["n_groups"], got["n_links"]], 1) for got in parts]])
+        self.good = np.concatenate([self.good, *[got["good"] for got in parts]])
+        self.same = tuple(np.concatenate([old, *[got[name] for got in parts]]) for old, name in zip(self.same, ("same", "n_same")))
+        self.pairs = tuple(np.concatenate([old, *[got[name] for got in parts]]) for old, name in zip(self.pairs, ("pairs", "n_pairs")))
 
 
 def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -230,9 +254,8 @@ def token_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_co
                 parts = (stretches_of(t) if pair.cuts else [t]) if t else []
                 which.extend([number.setdefault(p, len(number)) for p in parts])
                 sizes.append(len(parts))
-            fresh = list(number)[len(known.groups):] if len(number) > len(known.groups) else []
-            if fresh:
-                known.learn(pair, fresh)
+            if len(number) > len(known.groups):
+                known.learn(pair, list(islice(number, len(known.groups), None)))
             which, sizes = np.array(which, np.int64), np.array(sizes, np.int64)
             owner = np.repeat(np.arange(len(texts)), sizes)
             bad = np.bincount(owner, ~known.good[which], len(texts)) > 0
