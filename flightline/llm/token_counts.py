@@ -79,11 +79,13 @@ def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
                         normal.alias("text"))
     slim = stored(keyed.drop("text"), "content-digests")
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)  # a new cache is an empty folder
-    known = open_cache(docs, cache, version)
-    # one row stands for each missing digest; the join goes by digest and id, so texts with many copies are no hot key
-    misses = (slim.groupBy("digest").agg(F.min("doc_id").alias("one")).join(known, "digest", "left_anti")
-              .select(F.col("digest").alias("missing"), "one"))
+    # one row stands for each digest; what is encoded is found by digest and id, so texts with many copies are no hot key
+    state = slim.groupBy("digest").agg(F.min("doc_id").alias("one")).join(open_cache(docs, cache, version), "digest", "left")
+    state = stored(state, "known-digests")
+    misses = state.filter(F.col("n_tokens").isNull()).select(F.col("digest").alias("missing"), "one")
     fresh = keyed.join(misses, (F.col("digest") == F.col("missing")) & F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-    found = encoded_counts(fresh, raw, kind).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    found = stored(encoded_counts(fresh, raw, kind).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "fresh-counts")
     found.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
-    return slim.join(open_cache(docs, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # both sides come from tables, so Spark may split the rows of a digest that many share
+    counts = state.filter(F.col("n_tokens").isNotNull()).select("digest", "n_tokens").unionAll(found)
+    return slim.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
