@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flightline.llm.common import BYTE_LOWER, ODD, chunks, grams, lower_ascii, mixed, powers, small_batches, spans, stored, text_bytes
 
 SUPPORT, TOP, LONGEST = 30, 2000, 4
-SHARDS = 8  # fixed, so that a shard's share of the support stays above one however large the corpus is; a shard is counted by many tasks
+SHARDS = 4  # fixed, so that a shard's share of the support stays above one however large the corpus is; a shard is counted by many tasks
 SLOTS = 24  # bits of the place in a filter: 16 MB each, whatever the corpus; places that several phrases share only let more be counted
 PAGE = 16
 UNKNOWN = "und"
@@ -160,7 +160,7 @@ def phrase_counts(docs: DataFrame, marks: np.ndarray, longest: int) -> DataFrame
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of all phrases of up to ``longest`` words with at least ``support`` occurrences, (lang, n) of all words).
 
-    A shard is an eighth of the texts by hash.  A phrase with ``support`` occurrences has at least its share, ``ceil(support * shard's words /
+    A shard is a quarter of the texts by hash.  A phrase with ``support`` occurrences has at least its share, ``ceil(support * shard's words /
     language's words)``, in some shard, so every such phrase is found there; counts of words, then of pairs, then of longer phrases only take what
     may still be frequent in its shard.  Local counting goes by hashes, which can only let more through; the last count goes by the phrases themselves.
     """
@@ -227,8 +227,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     # 100 longer >= 80 a, without products
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.expr("longer is null or longer < a - a div 5"))
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
 
 PHRASE_SQL = r"""
