@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightline.llm.common import BYTE_LOWER, ODD, chunks, grams, lower_ascii, mixed, powers, small_batches, spans, stored, text_bytes
+from flightline.llm.common import BYTE_LOWER, ODD, chunks, grams, mixed, powers, small_batches, spans, stored, text_bytes
 
 SUPPORT, TOP, LONGEST = 30, 2000, 4
-SHARDS = 4  # fixed, so that a shard's share of the support stays above one however large the corpus is; a shard is counted by many tasks
+SHARDS = 2  # fixed and few, so that a shard's share of the support stays high however large the corpus is; a shard is counted by many tasks
 SLOTS = 24  # bits of the place in a filter: 16 MB each, whatever the corpus; places that several phrases share only let more be counted
 PAGE = 16
 UNKNOWN = "und"
-WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 LETTER, SPLIT = np.ones(256, bool), np.zeros(256, bool)
 SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
 LETTER[list(b" \t.,;:!?\n\x0b\x0c\r")] = False
@@ -48,14 +47,10 @@ def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def language_codes(langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each language for phrase keys, and a group number of 24 bits; languages that share one only have the lower support of both."""
-    named = {lang: (zlib.crc32(lang.encode()), zlib.adler32(lang.encode())) for lang in set(langs)}
-    wide = np.array([named[x][0] << 32 | named[x][1] for x in langs], np.uint64)
-    return mixed(wide + ODD), (wide >> np.uint64(32)).astype(np.int64) & 0xFFFFFF
-
-
-def group_code(lang: Column, shard: Column) -> Column:
-    return (F.crc32(lang.cast("binary")).bitwiseAND(F.lit(0xFFFFFF)) * SHARDS + shard).cast("int")
+    """A hash of each language for phrase keys, and its group number, which leaves room for the shard."""
+    named = {lang: int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big") for lang in set(langs)}
+    wide = np.array([named[x] for x in langs], np.uint64)
+    return mixed(wide + ODD), (wide >> np.uint64(8)).astype(np.int64) * SHARDS
 
 
 def marked(marks: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
@@ -111,7 +106,7 @@ def counted(docs: DataFrame, marks: np.ndarray | None, sizes: tuple[int, ...]) -
                     where = np.flatnonzero(ok)
                     g = (grams(h, n) if n > 1 else h)[where]
                     keys.append(mixed(g ^ wide[owner[where]]))
-                    groups.append(codes[owner[where]] * SHARDS + shard_of[owner[where]])
+                    groups.append(codes[owner[where]] + shard_of[owner[where]])
             if not keys:
                 continue
             keys, groups = np.concatenate(keys), np.concatenate(groups)
@@ -119,14 +114,14 @@ def counted(docs: DataFrame, marks: np.ndarray | None, sizes: tuple[int, ...]) -
             keys, groups = keys[order], groups[order]
             first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])])) if len(keys) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(groups[first].astype(np.int32)), pa.array(counts.astype(np.int64))],
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(groups[first]), pa.array(counts.astype(np.int64))],
                                              ["key", "grp", "n"])
 
-    return docs.mapInArrow(run, "key long, grp int, n long").groupBy("key", "grp").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "key long, grp long, n long").groupBy("key", "grp").agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(docs: DataFrame, marks: np.ndarray, longest: int) -> DataFrame:
-    """(lang, words, phrase, f): all occurrences, over all shards, of the phrases that ``marks`` lists."""
+    """(lang, words, phrase, f): all occurrences, over all shards, of the phrases that ``marks`` lists; of no words: how many words there are."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,18 +133,23 @@ def phrase_counts(docs: DataFrame, marks: np.ndarray, longest: int) -> DataFrame
                 part = LOWERED[raw[at[lo]:at[hi]]]
                 h, owner, piece, starts, stops = words_of(part, at[lo:hi + 1] - at[lo])
                 whole = part.tobytes()
-                out_lang, out_size, out_phrase, out_n = [], [], [], []
+                words: dict[str, int] = {}
+                for k, n in enumerate(np.bincount(owner, minlength=hi - lo).tolist(), lo):
+                    words[langs[k]] = words.get(langs[k], 0) + n
+                out_lang, out_size, out_phrase, out_n = list(words), [0] * len(words), [b""] * len(words), list(words.values())
+                may = np.ones(len(h), bool)
                 for n in range(1, longest + 1):
-                    where = np.flatnonzero(spans(piece, n))
+                    # with enough occurrences of its own, a phrase has both its parts that are one word shorter in the list
+                    where = np.flatnonzero(may & spans(piece, n) if n == 1 else may[:-1] & may[1:] & spans(piece, n))
                     keys = mixed((grams(h, n) if n > 1 else h)[where] ^ wide[owner[where] + lo])
                     hit = listed(shared.value, keys)
-                    keys, where = keys[hit], where[hit]
-                    _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                    begin, end = starts, stops
-                    for i in where[first].tolist():
-                        out_phrase.append(b" ".join([whole[begin[j]:end[j]] for j in range(i, i + n)]) if n > 1 else whole[begin[i]:end[i]])
-                    out_lang += [langs[k + lo] for k in owner[where[first]].tolist()]
-                    out_size += [n] * len(first)
+                    may = np.zeros(max(0, len(h) - n + 1), bool)
+                    may[where[hit]] = True
+                    _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
+                    found = where[hit][first]
+                    out_lang += [langs[k] for k in (owner[found] + lo).tolist()]
+                    out_size += [n] * len(found)
+                    out_phrase += [b" ".join([whole[starts[j]:stops[j]] for j in range(i, i + n)]) for i in found.tolist()]
                     out_n += counts.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_size, pa.int32()), pa.array(out_phrase, pa.binary()).cast(pa.string()),
                                                   pa.array(out_n, pa.int64())], ["lang", "words", "phrase", "n"])
@@ -160,7 +160,7 @@ def phrase_counts(docs: DataFrame, marks: np.ndarray, longest: int) -> DataFrame
 def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, f) of all phrases of up to ``longest`` words with at least ``support`` occurrences, (lang, n) of all words).
 
-    A shard is a quarter of the texts by hash.  A phrase with ``support`` occurrences has at least its share, ``ceil(support * shard's words /
+    A shard is half of the texts by hash.  A phrase with ``support`` occurrences has at least its share, ``ceil(support * shard's words /
     language's words)``, in some shard, so every such phrase is found there; counts of words, then of pairs, then of longer phrases only take what
     may still be frequent in its shard.  Local counting goes by hashes, which can only let more through; the last count goes by the phrases themselves.
     """
@@ -169,22 +169,25 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), text.alias("text"),
                        F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int").alias("shard"))
-    sizes = stored(rows.groupBy("lang", "shard").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).alias("n")).filter("n > 0"), "shard-words")
-    totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
-    share = F.expr(f"cast({support} as decimal(20,0)) * cast(part as decimal(18,0))")
-    least = (sizes.withColumnRenamed("n", "part").join(totals, "lang")
-             .select(group_code(F.col("lang"), F.col("shard")).alias("grp"), F.ceil(share / F.col("n").cast("decimal(18,0)")).cast("long").alias("least"))
-             .groupBy("grp").agg(F.greatest(F.lit(1), F.min("least")).alias("least")))
+    words = stored(counted(rows, None, (1,)), "shard-words")
+    # a group is a language's shard: the language's number, which the shard is added to
+    sizes = words.groupBy("grp").agg(F.sum("n").alias("part"))
+    totals = sizes.groupBy((F.col("grp") - F.pmod("grp", F.lit(SHARDS))).alias("of")).agg(F.sum("part").alias("whole"))
+    share = F.expr(f"cast({support} as decimal(20,0)) * cast(part as decimal(18,0)) / cast(whole as decimal(18,0))")
+    least = (sizes.withColumn("of", F.col("grp") - F.pmod("grp", F.lit(SHARDS))).join(totals, "of")
+             .select("grp", F.greatest(F.lit(1), F.ceil(share)).cast("long").alias("least")))
     least = stored(least, "shard-support")
 
-    def mined(marks: np.ndarray | None, lengths: tuple[int, ...]) -> DataFrame:
-        local = counted(rows, marks, lengths).join(least, "grp").filter("n >= least")
-        return stored(local.select("key", F.pmod("grp", F.lit(SHARDS)).alias("shard")), f"local-{lengths[0]}")
+    def locally(found: DataFrame) -> DataFrame:
+        return found.join(least, "grp").filter("n >= least").select("key", F.pmod("grp", F.lit(SHARDS)).cast("int").alias("shard"))
+
+    def mined(marks: np.ndarray, lengths: tuple[int, ...]) -> DataFrame:
+        return stored(locally(counted(rows, marks, lengths)), f"local-{lengths[0]}")
 
     def in_shards(found: DataFrame) -> np.ndarray:
         return packed(found.select(F.col("key").bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("place"), F.expr("shiftleft(1, shard)").alias("bit")))
 
-    levels = [mined(None, (1,))]
+    levels = [stored(locally(words), "local-1")]
     if longest > 1:
         levels.append(mined(in_shards(levels[-1]), (2,)))
     if longest > 2:
@@ -194,7 +197,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         union = union.unionAll(found.select("key"))
     candidates = packed(union.select(F.shiftright("key", 3).bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("place"),
                                      F.expr("shiftleft(1, cast(key & 7 as int))").alias("bit")))
-    return stored(phrase_counts(rows, candidates, longest).filter(F.col("f") >= support), "phrases"), totals
+    counts = stored(phrase_counts(rows, candidates, longest).filter((F.col("f") >= support) | (F.col("words") == 0)), "phrases")
+    return counts.filter("words > 0"), counts.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: int = SUPPORT, top: int = TOP, longest: int = LONGEST) -> DataFrame:
