@@ -30,9 +30,8 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """Merges and tokens of a tokenizer file, as arrays; its size is that of the file, whatever the corpus."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         ids, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         letters = byte_letters()
         to_byte = {c: b for b, c in enumerate(letters)}
@@ -132,9 +131,10 @@ def first_of_runs(at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
 
 
 def shared_vocabulary(spark: SparkSession, path: str):
-    """The vocabulary as a broadcast; it is a few MB, the size of the tokenizer file."""
+    """The tokenizer file as a broadcast of a few MB; tasks build their vocabulary from its bytes, so they need no copy of this package."""
     small_batches(spark)
-    return spark.sparkContext.broadcast(Vocabulary(path))
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def _batched(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
-        vocab = shared.value
+        vocab = Vocabulary(shared.value)
         pieces = regex.compile(PATTERN).findall
         special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocab.special, key=len, reverse=True)) + ")") if vocab.special else None
         numbers: dict[str, int] = {}
@@ -201,7 +201,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = shared_vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
+        vocab = Vocabulary(shared.value)
         for batch in batches:
             texts = [vocab.decode(np.asarray(ids.values.to_numpy(zero_copy_only=False), np.int64)).decode("utf-8", "replace") if ids.is_valid else "" for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])

@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHARD_BYTES = 8 << 20  # text that one Python call holds; a longer single text is held whole
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 CHUNK_BYTES = 2 << 20  # text that one round of numpy arrays covers
+SLOTS, PAGE = 24, 16  # bits of the place in a filter, 16 MB whatever the corpus, and in a page of it; what shares a place only lets more through
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,7 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back: short lineage, safe from lost executors."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again: what was made from them is stored itself."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -185,3 +196,33 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + n, size), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+# ---------------------------------------------------------------- filters of a fixed size
+
+def packed(places: DataFrame) -> np.ndarray:
+    """(place, bit) rows as 2^SLOTS bytes on the driver; the size is fixed, pages of it are put together by tasks."""
+    size = 1 << PAGE
+
+    def page(table: pa.Table) -> pa.Table:
+        out = np.zeros(size, np.uint8)
+        out[table["place"].to_numpy() & (size - 1)] = table["bits"].to_numpy().astype(np.uint8)
+        return pa.table({"page": table["page"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    pages = (places.groupBy("place").agg(F.bit_or("bit").alias("bits")).withColumn("page", F.shiftright("place", PAGE))
+             .groupBy("page").applyInArrow(page, "page long, bits binary"))
+    whole = np.zeros(1 << SLOTS, np.uint8)
+    for row in pages.collect():
+        whole[row["page"] * size:(row["page"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return whole
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """The filter of a column ``key`` of 64-bit hashes: 2^(SLOTS + 3) bits."""
+    return packed(keys.select(F.shiftright("key", 3).bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("place"), F.expr("shiftleft(1, cast(key & 7 as int))").alias("bit")))
+
+
+def listed(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys are in the filter: all that were put in, and some others."""
+    places = (keys >> np.uint64(3)) & np.uint64((1 << SLOTS) - 1)
+    return (marks[places.astype(np.int64)] >> (keys & np.uint64(7)).astype(np.uint8)) & 1 == 1

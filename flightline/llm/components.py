@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightline.llm.common import stored
+from flightline.llm.common import dropped, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,9 +32,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     mark = None
     while True:
-        now = stored(_small(stored(_large(now), "edges")), "edges")
+        wide = stored(_large(now), "edges")
+        dropped(now)
+        now = stored(_small(wide), "edges")
+        dropped(wide)
         told = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
         if told == mark or told[0] == 0:
             break
         mark = told
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("_r")), "node", "left").select("node", F.coalesce("_r", "node").alias("root"))
+    roots = nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("_r")), "node", "left").select("node", F.coalesce("_r", "node").alias("root"))
+    roots = stored(roots, "roots")
+    dropped(now)
+    return roots

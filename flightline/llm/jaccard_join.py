@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightline.llm.common import chunks, grams, mixed, spans, stored, text_bytes, word_hashes
+from flightline.llm.common import chunks, dropped, grams, key_filter, listed, mixed, spans, stored, text_bytes, word_hashes
 from flightline.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 BLOCK = 512  # sets of a cluster that one side of a comparing task holds
 HOT = 64  # more different sets than this under one signature make it costly
 MOST = 0.02  # share of sets that may have more unusable segments than the allocation provides for; those use them all the same
+FEW_BITS, MANY_BITS = 256, 1 << 16  # of a set's parity sketch; in between two bits for three shingles at least
 K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,7 +30,6 @@ def bands(percent: int, most: int = 1 << 40) -> list[int]:
     return lows
 
 
-@lru_cache(maxsize=None)
 def allocation(low: int, percent: int) -> tuple[int, int, int]:
     """(segments, of these with one-deletion neighbourhoods, spare) for pairs whose smaller set is in the band from ``low``.
 
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     lows = np.array(bands(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             for lo, hi, g, o in shingle_sets(batch, 0, size):
                 sizes, nodes = set_ids(g, o, hi - lo)
@@ -141,7 +142,9 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for band in np.unique(np.concatenate([own[chosen], own[chosen] - 1])).tolist():
                     if band < 0:
                         continue
-                    m, deletions, spare = allocation(int(lows[band]), percent)
+                    if band not in known:
+                        known[band] = allocation(int(lows[band]), percent)
+                    m, deletions, spare = known[band]
                     mine = chosen & ((own == band) | (own == band + 1))
                     take = mine[o]
                     sig, owner, left = segment_signatures(g[take], o[take], hi - lo, band, m, deletions, spare)
@@ -153,6 +156,102 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return found.select("sig", "node", F.floor((F.col("told") + 1) / 128).cast("int").alias("band"), (F.pmod(F.col("told") + 1, F.lit(128)) - 1).alias("left"))
 
 
+def sketches(g: np.ndarray, o: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each set, bit by bit, whether an odd number of its shingles falls on the bit; ``n`` are the sets' sizes.
+
+    Sets that differ in d shingles have sketches that differ in at most d bits, so a pair with more differing bits than its similarity allows is no
+    link, and needs no texts to tell.  Sets far larger than the largest sketch fill it and go on to the texts.
+    """
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 1.5)).clip(0).astype(np.int64), FEW_BITS, MANY_BITS)
+    at = np.cumsum(bits) - bits
+    where = at[o] + (mixed(g ^ K) & (bits[o] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(where, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+    return [packed[i // 8:(i + b) // 8] for i, b in zip(at.tolist(), bits.tolist())]
+
+
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches of at least ``size`` bytes as rows of 64-bit numbers; longer ones are folded over, as if they had been made that long."""
+    out = np.zeros((len(rows), size // 8), np.uint64)
+    lengths = np.array([len(r) for r in rows])
+    for length in np.unique(lengths).tolist():
+        which = np.flatnonzero(lengths == length)
+        whole = np.frombuffer(b"".join([rows[i] for i in which.tolist()]), np.uint64)
+        out[which] = np.bitwise_xor.reduce(whole.reshape(len(which), length // size, size // 8), axis=1)
+    return out
+
+
+def may_link(n, m, bits, percent: int):
+    """Whether sets of sizes ``n`` and ``m`` whose sketches differ in ``bits`` bits may reach the limit."""
+    return (bits * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that sketches do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            shorter, bits = np.array([min(len(x), len(y)) for x, y in zip(us, vs)]), np.zeros(len(us), np.int64)
+            for length in np.unique(shorter).tolist():
+                which = np.flatnonzero(shorter == length)
+                for part in np.array_split(which, len(which) * length // (1 << 22) + 1):
+                    x, y = folded([us[i] for i in part.tolist()], length), folded([vs[i] for i in part.tolist()], length)
+                    bits[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(may_link(batch.column(2).to_numpy(), batch.column(3).to_numpy(), bits, percent)))
+
+    a, b = (marks.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(run, "u long, v long")
+
+
+def possible(rows: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): links that join, within a signature, all sets of different roots that sketches do not rule out for each other.
+
+    A signature of more than ``block`` sets joins all of its sets, so no task holds more than a block of one signature.
+    """
+    def joined(nodes, roots, n, marks) -> Iterator[tuple[int, int]]:
+        near = np.zeros((len(nodes), len(nodes)), bool)
+        lengths = np.array([len(m) for m in marks])
+        for length in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == length)
+            others = np.flatnonzero((lengths >= length) & (n * percent <= n[mine].max() * 100))
+            words = folded([marks[i] for i in others.tolist()], length)
+            for i, own in zip(mine.tolist(), words[np.searchsorted(others, mine)]):
+                bits = np.bitwise_count(words ^ own).sum(axis=1, dtype=np.int64)
+                near[i, others] = may_link(n[i], n[others], bits, percent) & (roots[i] != roots[others])
+        near |= near.T
+        seen = np.zeros(len(nodes), bool)
+        for first in np.flatnonzero(near.any(axis=1)).tolist():
+            front = np.array([first])
+            while not seen[first] or len(front):
+                seen[front] = True
+                front = np.flatnonzero(near[front].any(axis=0) & ~seen)
+                yield from ((nodes[i], nodes[first]) for i in front.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]) if held is not None or batch is not None else None
+            if table is None or not table.num_rows:
+                continue
+            whole = table.combine_chunks().to_batches()[0]
+            sig = whole.column(0).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+            if batch is not None:  # the last signature may go on
+                held, starts = whole.slice(int(starts[-1])), starts
+                ends = starts[1:]
+            else:
+                held, ends = None, np.append(starts[1:], len(sig))
+            if not len(ends):
+                continue
+            nodes, roots, n = (whole.column(k).to_numpy() for k in (1, 2, 3))
+            marks = whole.column(4).to_pylist()
+            found = [e for lo, hi in zip(starts.tolist(), ends.tolist()) if hi - lo > 1 for e in joined(nodes[lo:hi], roots[lo:hi], n[lo:hi], marks[lo:hi])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+    few = rows.filter(F.col("f") <= block).join(marks, "node").select("sig", "node", "root", "n", "sketch")
+    parts = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "u long, v long")
+    return parts.unionByName(stars(rows.filter(F.col("f") > block))).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of sets whose similarity reaches the limit, by their shingles; ``texts`` has one text for each set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +282,26 @@ def stars(rows: DataFrame) -> DataFrame:
     return rows.join(least, "sig").filter("node != v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def between(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between sets of different roots that share a signature, directly or by way of other sets of ``rows``.
+def texts_of(keyed: DataFrame, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text), stored, of all sets in ``pairs``.  A filter of a fixed size leaves most other texts where they are; the join that follows is exact."""
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = stored(chosen.join(nodes, "node"), "wanted")
+    shared = keyed.sparkSession.sparkContext.broadcast(key_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(listed(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    near = keyed.select("key", "text").mapInArrow(run, "key long, text string")
+    texts = stored(near.join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    dropped(wanted)
+    return texts
+
+
+def between(nodes: DataFrame, links: DataFrame, texts: DataFrame, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between sets of different roots that share a signature and whose sketches allow it, or that are joined by way of others such.
 
-    Sets joined by signatures make a cluster, cut into blocks; a task compares two blocks, a set is sent once for each block of its cluster.  The sizes of
+    ``nodes`` has the sets' roots; sets joined by the possible ``links`` make a cluster, cut into blocks; a task compares two blocks, a set is sent once for each block of its cluster.  The sizes of
     all common parts come from products of incidence matrices, so no pair is a row; of the links between two roots in a task one is enough.
     """
     def compare(key, table):
@@ -213,9 +328,7 @@ def between(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: i
         _, one = np.unique(ends, axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
         return pa.table({"u": nodes[x[one]].astype(np.int64), "v": nodes[y[one]].astype(np.int64)})
 
-    rows = stored(rows, "open")
-    nodes = rows.select("node", "root").distinct()
-    clusters = components(stars(rows)).select("node", F.col("root").alias("cluster"))
+    clusters = components(links).select("node", F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = nodes.join(clusters, "node").join(sizes, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
@@ -223,12 +336,12 @@ def between(rows: DataFrame, texts: DataFrame, size: int, percent: int, block: i
     return placed.join(texts, "node").groupBy("cluster", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows with the root of their node, only of signatures that still lie in two or more components."""
+def _labelled(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the root of their node, only of signatures that still lie in two or more components; also the stored table of roots that they read."""
     roots = components(links)
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     w = Window.partitionBy("sig")
-    return named.withColumns({"_a": F.min("root").over(w), "_b": F.max("root").over(w)}).filter("_a != _b").drop("_a", "_b")
+    return named.withColumns({"_a": F.min("root").over(w), "_b": F.max("root").over(w), "f": F.count("*").over(w)}).filter("_a != _b").drop("_a", "_b"), roots
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
@@ -249,25 +362,39 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for lo, hi, g, o in shingle_sets(batch, 1, size):
                 sizes, nodes = set_ids(g, o, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(nodes), batch.column(2).slice(lo, hi - lo)],
-                                                 ["doc_id", "n_shingles", "set_id", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(nodes), batch.column(2).slice(lo, hi - lo),
+                                                  pa.array(sketches(g, o, sizes), pa.binary())], ["doc_id", "n_shingles", "set_id", "key", "sketch"])
 
     keyed = plain.withColumn("key", F.xxhash64("doc_id", "text"))
-    sets = stored(keyed.mapInArrow(name, f"doc_id {kind}, n_shingles long, set_id long, key long"), "sets")
+    sets = stored(keyed.mapInArrow(name, f"doc_id {kind}, n_shingles long, set_id long, key long, sketch binary"), "sets")
     met = signatures(plain, size, percent).repartition("sig").dropDuplicates(["sig", "node"]).withColumn("f", F.count("*").over(Window.partitionBy("sig"))).filter("f > 1")
     met = stored(met, "signatures")
     full = met.filter(F.col("f") > hot).groupBy("node", "band").agg(F.count("*").alias("n"), F.min("left").alias("left")).filter("n * 2 > left").select(
         "node", "band", F.lit(True).alias("keep"))
     rows = met.join(full, ["node", "band"], "left").filter((F.col("f") <= hot) | F.col("keep")).select("sig", "node")
     rows = stored(rows, "rows")
+    dropped(met)
     least = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("key").alias("key")).select(F.col("set_id").alias("node"), "key")
-    need = least.join(rows.select("node").distinct(), "node")
-    texts = stored(keyed.select("key", "text").join(need, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    chosen = stored(least.join(rows.select("node").distinct(), "node"), "chosen")
+    marks = sets.select("key", F.col("n_shingles").alias("n"), "sketch").join(chosen, "key").dropDuplicates(["node"]).select("node", "n", "sketch")
+    marks = stored(marks, "sketches")
 
     tested = stored(stars(rows), "pairs")
-    links = stored(verified(tested, texts, size, percent), "links")
-    links = links.unionByName(stored(between(_labelled(rows, links), texts, size, percent), "links"))
-    roots = components(links).select(F.col("node").alias("set_id"), "root")
+    hopeful = stored(likely(tested, marks, percent), "likely")
+    dropped(tested)
+    texts = texts_of(keyed, chosen, hopeful)
+    first = stored(verified(hopeful, texts, size, percent), "links")
+    dropped(hopeful, texts)
+    labelled, named = _labelled(rows, first)
+    still = stored(labelled, "open")
+    dropped(rows, named)
+    joined = stored(possible(still, marks, percent), "possible")
+    texts = texts_of(keyed, chosen, joined)
+    more = stored(between(still.select("node", "root").distinct(), joined, texts, size, percent), "links")
+    dropped(still, joined, texts, marks, chosen)
+    nodes = components(first.unionByName(more))
+    dropped(first, more)
+    roots = nodes.select(F.col("node").alias("set_id"), "root")
     joined = sets.join(roots, "set_id", "left")
     return joined.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")).alias("root"))
 

@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightline.llm.common import BYTE_LOWER, ODD, chunks, grams, mixed, powers, small_batches, spans, stored, text_bytes
+from flightline.llm.common import BYTE_LOWER, ODD, SLOTS, chunks, grams, key_filter, listed, mixed, packed, powers, small_batches, spans, stored, text_bytes
 
 SUPPORT, TOP, LONGEST = 30, 2000, 4
 SHARDS = 2  # fixed and few, so that a shard's share of the support stays high however large the corpus is; a shard is counted by many tasks
-SLOTS = 24  # bits of the place in a filter: 16 MB each, whatever the corpus; places that several phrases share only let more be counted
-PAGE = 16
 UNKNOWN = "und"
 LETTER, SPLIT = np.ones(256, bool), np.zeros(256, bool)
 SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -57,28 +55,6 @@ def marked(marks: np.ndarray, keys: np.ndarray, shard: np.ndarray) -> np.ndarray
     return (marks[(keys & np.uint64((1 << SLOTS) - 1)).astype(np.int64)] >> shard) & 1 == 1
 
 
-def listed(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    places = (keys >> np.uint64(3)) & np.uint64((1 << SLOTS) - 1)
-    return (marks[places.astype(np.int64)] >> (keys & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def packed(places: DataFrame) -> np.ndarray:
-    """(place, bit) rows as 2^SLOTS bytes on the driver; the size is fixed, pages of it are put together by tasks."""
-    size = 1 << PAGE
-
-    def page(table: pa.Table) -> pa.Table:
-        out = np.zeros(size, np.uint8)
-        out[table["place"].to_numpy() & (size - 1)] = table["bits"].to_numpy().astype(np.uint8)
-        return pa.table({"page": table["page"].slice(0, 1), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    pages = (places.groupBy("place").agg(F.bit_or("bit").alias("bits")).withColumn("page", F.shiftright("place", PAGE))
-             .groupBy("page").applyInArrow(page, "page long, bits binary"))
-    whole = np.zeros(1 << SLOTS, np.uint8)
-    for row in pages.collect():
-        whole[row["page"] * size:(row["page"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return whole
-
-
 def counted(docs: DataFrame, marks: np.ndarray | None, sizes: tuple[int, ...]) -> DataFrame:
     """(key, grp, n): occurrences of the phrases of ``sizes`` words by shard; ``marks`` keeps those all of whose parts, one word shorter than the first
     of ``sizes``, may be frequent in their shard."""
@@ -195,8 +171,7 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     union = levels[0].select("key")
     for found in levels[1:]:
         union = union.unionAll(found.select("key"))
-    candidates = packed(union.select(F.shiftright("key", 3).bitwiseAND(F.lit((1 << SLOTS) - 1)).alias("place"),
-                                     F.expr("shiftleft(1, cast(key & 7 as int))").alias("bit")))
+    candidates = key_filter(union)
     counts = stored(phrase_counts(rows, candidates, longest).filter((F.col("f") >= support) | (F.col("words") == 0)), "phrases")
     return counts.filter("words > 0"), counts.filter("words = 0").select("lang", F.col("f").alias("n"))
 

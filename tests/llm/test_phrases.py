@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from flightline.llm import phrases
+from flightline.llm import common, phrases
 
 
 def plain(rows, support, top):
@@ -55,8 +55,9 @@ def test_no_rows(spark):
 
 def test_full_filters_change_nothing(spark, monkeypatch):
     """Where so many phrases share a place that the filters say nothing, the counts are still exact."""
-    monkeypatch.setattr(phrases, "SLOTS", 4)
-    monkeypatch.setattr(phrases, "PAGE", 2)
+    for module in (phrases, common):
+        monkeypatch.setattr(module, "SLOTS", 4)
+    monkeypatch.setattr(common, "PAGE", 2)
     rows = made(4, 150)
     frame = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(r) for r in phrases.collocations(frame, support=6).collect()) == plain(rows, 6, 2000)
