@@ -205,7 +205,7 @@ def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 def possible(rows: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(u, v): links that join, within a signature, all sets of different roots that sketches do not rule out for each other.
 
-    A signature of more than ``block`` sets joins all of its sets, so no task holds more than a block of one signature.
+    The sets of a signature are cut into blocks of about ``block``, each pair of which is compared by one task.
     """
     def joined(nodes, roots, n, marks) -> Iterator[tuple[int, int]]:
         near = np.zeros((len(nodes), len(nodes)), bool)
@@ -233,8 +233,8 @@ def possible(rows: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK
             if table is None or not table.num_rows:
                 continue
             whole = table.combine_chunks().to_batches()[0]
-            sig = whole.column(0).to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
+            sig, lo_, hi_ = (whole.column(k).to_numpy() for k in (0, 5, 6))
+            starts = np.concatenate([[0], np.flatnonzero((sig[1:] != sig[:-1]) | (lo_[1:] != lo_[:-1]) | (hi_[1:] != hi_[:-1])) + 1])
             if batch is not None:  # the last signature may go on
                 held, starts = whole.slice(int(starts[-1])), starts
                 ends = starts[1:]
@@ -247,9 +247,10 @@ def possible(rows: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK
             found = [e for lo, hi in zip(starts.tolist(), ends.tolist()) if hi - lo > 1 for e in joined(nodes[lo:hi], roots[lo:hi], n[lo:hi], marks[lo:hi])]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
 
-    few = rows.filter(F.col("f") <= block).join(marks, "node").select("sig", "node", "root", "n", "sketch")
-    parts = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "u long, v long")
-    return parts.unionByName(stars(rows.filter(F.col("f") > block))).distinct()
+    blocks = F.ceil(F.col("f") / block)
+    placed = rows.join(marks, "node").withColumns({"b": F.pmod(F.xxhash64("node"), blocks), "_c": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    placed = placed.select("sig", "node", "root", "n", "sketch", F.least("b", "_c").alias("lo"), F.greatest("b", "_c").alias("hi"))
+    return placed.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
