@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flightline.operators.blocks import Series, drop_halo, gap_flag, islands, neighbours, running, scan_blocks, with_halo
+from flightline.operators.blocks import Series, drop_halo, gap_flag, islands, neighbours, running, with_halo
 from flightline.operators.joins import nearest_within, point_in_interval
+from flightline.operators.transfers import spaced_rows
 
 EPS = 1e-9  # means of the same points summed in another order are equal
 
@@ -93,31 +92,7 @@ def passes_through(df: DataFrame, s: Series, hoop: dict[str, Column], max_pass:
 
 def spaced(df: DataFrame, s: Series, gap: float, strict: bool = False) -> DataFrame:
     """Keep a row when it is at least (``strict``: more than) ``gap`` after the last row *kept*, not the previous row."""
-    slim = df.select(*s.keys, *s.order)
-
-    def step(rows: pd.DataFrame, last):
-        t = rows[s.time].to_numpy(dtype=float)
-        keep, i = [], 0 if last is None else _first_far(t, last, gap, 0, strict)
-        while i < len(t):
-            keep.append(i)
-            last = float(t[i])
-            i = _first_far(t, last, gap, i + 1, strict)
-        return rows.loc[keep, [*s.keys, *s.order]], last
-
-    schema = slim.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    kept = scan_blocks(slim, s, step, schema)
-    return df.join(kept, [*s.keys, *s.order], "left_semi")
-
-
-def _first_far(t: np.ndarray, last: float, gap: float, start: int, strict: bool) -> int:
-    """First index from ``start`` on that is far enough from ``last``, judged by the subtraction itself."""
-    far = (lambda v: v - last > gap) if strict else (lambda v: v - last >= gap)
-    i = max(start, int(np.searchsorted(t, last + gap)) - 1)
-    while i > start and far(t[i - 1]):
-        i -= 1
-    while i < len(t) and not far(t[i]):
-        i += 1
-    return i
+    return df.join(spaced_rows(df, s, gap, strict), [*s.keys, *s.order], "left_semi")
 
 
 def true_stretches(df: DataFrame, s: Series, on: Column, min_len: int = 1, value: str | None = None) -> DataFrame:
