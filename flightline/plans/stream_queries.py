@@ -52,11 +52,9 @@ def sightings(e: DataFrame) -> DataFrame:
 
 @query("t02_streaming_tracks")
 def t02(spark, sf):
-    """The tracks of the whole table, so that its last frames and the least length count; tests hold the streaming run against it."""
-    from flightline.operators.tracking import build_tracks
-    from flightline.plans.track_queries import FAST, FRAMES, RADIUS
-    rows = sightings(event_table(spark, sf)).withColumn("radius", F.lit(RADIUS))
-    return build_tracks(rows, FRAMES, FAST).select("video", "seq", "track_id")
+    """The stateful streaming tracker over the whole table, its last frames flushed at the end of the input; an hour is a frame."""
+    from flightline.plans.track_queries import FAST, RADIUS
+    return jobs.run_tracks(sightings(jobs.read_events(spark, sf)), RADIUS, "2 hours", FAST, 3_600_000)
 
 
 @query("s09_guarded_scan", "SELECT event_id, user_id, value FROM events WHERE value>=5")
