@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightline.operators.blocks import Series, scan_blocks
+from flightline.operators.blocks import Series, islands, running, scan_blocks
 from flightline.operators.joins import nearest_any, point_in_interval
 from flightline.runtime import cut
 
@@ -42,11 +42,52 @@ def greedy_pairs(pairs: DataFrame, left: Sequence[str], right: Sequence[str], ra
     return (chosen if chosen is not None else ranked).drop("_rank")
 
 
+WALK = 50_000  # pairs of one part of the candidate graph that a task walks through; a larger part goes in rounds
+
+
+def greedy_in_parts(pairs: DataFrame, s: Series, left: Sequence[str], right: Sequence[str], rank: Sequence[Column], end: Column, walk: int = WALK) -> DataFrame:
+    """:func:`greedy_pairs` in a fixed number of steps for pairs that lie in time: each covers ``s.time`` to ``end``.
+
+    Pairs that share an end overlap, so where no pair covers a moment the candidate graph falls apart, and the parts can be chosen from one by one.  One
+    round takes the pairs that are best for both ends, which leaves few; then parts of up to ``walk`` pairs are dealt out and a task walks down the sorted
+    list of those it gets.  The result is that of one walk down the list of all pairs.
+    """
+    columns, keys = pairs.columns, list(s.keys)
+    ranked = cut(pairs.withColumn("_rank", F.struct(*rank)))
+    by_left, by_right = ranked.groupBy(*left).agg(F.min("_rank").alias("_bl")), ranked.groupBy(*right).agg(F.min("_rank").alias("_br"))
+    first = cut(ranked.join(by_left, list(left)).join(by_right, list(right)).filter((F.col("_rank") == F.col("_bl")) & (F.col("_rank") == F.col("_br"))).select(*columns))
+    rest = ranked.join(first.select(*left), list(left), "left_anti").join(first.select(*right), list(right), "left_anti").drop("_rank")
+    rest = running(rest.withColumn("_end", end), s, {"_reach": ("max", F.col("_end"))}, inclusive=False)
+    parts = islands(rest, s, F.col("_reach").isNull() | (F.col(s.time) > F.col("_reach")), "_part").select(*columns, "_part")
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    parts = cut(parts.join(sizes, [*keys, "_part"]))
+    small, large = parts.filter(F.col("_n") <= walk), parts.filter(F.col("_n") > walk)
+    groups = -(-small.count() // walk)  # so that parts dealt out by hash come to about ``walk`` pairs in each group
+    by = [f"_r{i}" for i in range(len(rank))]
+
+    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(by, ignore_index=True)
+        ends = [list(rows[list(c)].itertuples(index=False, name=None)) for c in (left, right)]
+        taken, kept = (set(), set()), []
+        for i, (a, b) in enumerate(zip(*ends)):
+            if a not in taken[0] and b not in taken[1]:
+                taken[0].add(a)
+                taken[1].add(b)
+                kept.append(i)
+        return rows.iloc[kept][columns]
+
+    dealt = small.withColumns({"_group": F.pmod(F.xxhash64(*keys, "_part"), F.lit(max(1, groups))), **dict(zip(by, rank))}).select(*columns, "_group", *by)
+    walked = dealt.groupBy("_group").applyInPandas(chosen, small.select(*columns).schema)
+    return first.unionByName(walked).unionByName(greedy_pairs(large.select(*columns), left, right, rank))
+
+
 def match_events(marks: DataFrame, calls: DataFrame, keys: Sequence[str], tol: float, mark_first: bool = True) -> DataFrame:
     """Globally nearest-first matching; ties by (mark, call) or, for the gate fits, by (call, mark)."""
-    pairs = candidate_pairs(marks, calls, keys, tol).select(*keys, "mark", "call", "dt")
+    pairs = candidate_pairs(marks, calls, keys, tol)
+    pairs = pairs.select(*keys, "mark", "call", "dt", F.least("mt", "ct").alias("_from"), F.greatest("mt", "ct").alias("_to"), F.struct("mark", "call").alias("_pair"))
     ids = [F.col("mark"), F.col("call")] if mark_first else [F.col("call"), F.col("mark")]
-    return greedy_pairs(pairs, ["mark"], ["call"], [F.col("dt"), *ids])
+    s = Series(tuple(keys), "_from", "_pair", 256 * max(tol, 1e-9))
+    return greedy_in_parts(pairs, s, ["mark"], ["call"], [F.col("dt"), *ids], F.col("_to")).select(*keys, "mark", "call", "dt")
 
 
 def in_order(marks: DataFrame, calls: DataFrame, keys: Sequence[str], tol: float, nearest: bool, use_hoop: bool,

@@ -162,3 +162,49 @@ def test_quantiles_equal_numpy(spark):
     for k in "ab":
         v = np.array(sorted(x for key, x in rows if key == k))
         assert np.allclose([got[k]["q"], got[k]["m"], got[k]["u"]], [np.percentile(v, 37), np.median(v), v[len(v) // 2]])
+
+
+def chain(n):
+    """Marks and calls in turn, each gap smaller than the one before: the walk starts at the far end and every choice hangs on the one after it."""
+    at, points = 0.0, []
+    for i in range(2 * n):
+        points.append(at)
+        at += 3.0 - i / (2 * n)
+    return [("k", i, points[2 * i]) for i in range(n)], [("k", i, points[2 * i + 1]) for i in range(n)]
+
+
+def test_chains_of_ever_closer_pairs_take_a_fixed_number_of_steps(spark, monkeypatch):
+    real, steps = mt.cut, []
+    monkeypatch.setattr(mt, "cut", lambda df: steps.append(1) or real(df))
+    counts = []
+    for n in (5, 1000):
+        steps.clear()
+        marks, calls = chain(n)
+        pairs = sorted((abs(c[2] - m[2]), m[1], c[1]) for m in marks for c in calls[max(0, m[1] - 4):m[1] + 4] if abs(c[2] - m[2]) <= 7.0)
+        um, uc, want = set(), set(), set()
+        for _, m, c in pairs:
+            if m not in um and c not in uc:
+                um.add(m)
+                uc.add(c)
+                want.add((m, c))
+        none = F.lit(None).cast("long")
+        m_df = spark.createDataFrame(marks, "video string, mark long, mt double").withColumn("mhoop", none)
+        c_df = spark.createDataFrame(calls, "video string, call long, ct double").withColumn("choop", none)
+        assert {(r["mark"], r["call"]) for r in mt.match_events(m_df, c_df, ["video"], 7.0).collect()} == want
+        counts.append(len(steps))
+    assert counts[0] == counts[1]
+
+
+def test_parts_too_large_for_a_task_go_in_rounds(spark):
+    rnd = random.Random(12)
+    rows = [(rnd.choice("ab"), i, float(rnd.randint(0, 300))) for i in range(160)]
+    marks, calls = rows[:80], rows[80:]
+    none = F.lit(None).cast("long")
+    pairs = mt.candidate_pairs(spark.createDataFrame(marks, "v string, mark long, mt double").withColumn("mhoop", none),
+                               spark.createDataFrame(calls, "v string, call long, ct double").withColumn("choop", none), ["v"], 9.0)
+    pairs = pairs.select("v", "mark", "call", "dt", F.least("mt", "ct").alias("_from"), F.greatest("mt", "ct").alias("_to"), F.struct("mark", "call").alias("_pair"))
+    rank = [F.col("dt"), F.col("mark"), F.col("call")]
+    want = {(r["mark"], r["call"]) for r in mt.greedy_pairs(pairs, ["mark"], ["call"], rank).collect()}
+    for walk in (1, 6, 1000):
+        got = mt.greedy_in_parts(pairs, Series(("v",), "_from", "_pair", 40.0), ["mark"], ["call"], rank, F.col("_to"), walk).collect()
+        assert len(got) == len(want) and {(r["mark"], r["call"]) for r in got} == want
