@@ -112,8 +112,7 @@ def b06(spark, sf):
     m, fl, ppl = shot_inputs(spark, sf)
     cands = at.candidates(hand_series(spark, sf), PEOPLE, ["video"]).filter("rank = 1").select("video", F.col("site").alias("person"), "rank")
     cands = m.select("video", "mark").join(cands, "video").select("mark", "person", "rank")
-    flights = fl.filter(F.col("mark") % 5 != 0).drop("video")
-    out = at.attribute(m.select("mark"), flights, ppl, cands, ["mark"])
+    out = at.attribute(m.select("mark"), fl.drop("video"), ppl, cands, ["mark"])
     return out.select("mark", "person", r(F.col("dist"), 2).alias("dist"), "how")
 
 

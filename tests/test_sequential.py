@@ -208,3 +208,33 @@ def test_parts_too_large_for_a_task_go_in_rounds(spark):
     for walk in (1, 6, 1000):
         got = mt.greedy_in_parts(pairs, Series(("v",), "_from", "_pair", 40.0), ["mark"], ["call"], rank, F.col("_to"), walk).collect()
         assert len(got) == len(want) and {(r["mark"], r["call"]) for r in got} == want
+
+
+def test_people_linking_equals_loops(spark):
+    """Several boxes a frame, equal distances, people who come back too late, blocks shorter than a stay."""
+    rnd = random.Random(21)
+    rows, seq = [], 0
+    for f in range(0, 240, 3):
+        for p in range(4):
+            if rnd.random() < 0.7 and not (p == 2 and 90 < f < 150):
+                rows.append(("v", f, seq, float(100 * p + rnd.randint(-40, 40)), float(50 * p + rnd.randint(-20, 20)), 30.0 + p))
+                seq += 1
+    df = spark.createDataFrame(rows, "video string, frame long, seq long, x double, y double, sw double")
+    s = Series(("video",), "frame", "seq", 30.0)
+    open_, want = [], {}
+    for _, f, q, x, y, _ in rows:
+        near = [((x - t["x"]) ** 2 + (y - t["y"]) ** 2) ** 0.5 for t in open_]
+        ok = [(d, i) for i, (d, t) in enumerate(zip(near, open_)) if 0 < (f - t["f"]) / 3 <= 4 and d < 35 * (f - t["f"]) / 3]
+        if not ok:
+            open_.append({"id": q})
+            ok = [(0, len(open_) - 1)]
+        open_[min(ok)[1]].update(f=f, x=x, y=y)
+        want[q] = open_[min(ok)[1]]["id"]
+    assert {r["seq"]: r["track_id"] for r in tk.link_people(df, s, 3.0, 4.0, 35.0).collect()} == want
+    last, want = [], {}
+    for _, _, q, x, y, sw in rows:
+        fits = [i for i, (px, py) in enumerate(last) if abs(x - px) < sw * 1.8 and abs(y - py) < sw * 2.2]
+        i = fits[0] if fits else len(last)
+        last[i:i + 1] = [(x, y)]
+        want[q] = i
+    assert {r["seq"]: r["person"] for r in tk.link_by_scale(df, s).collect()} == want
