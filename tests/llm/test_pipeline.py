@@ -64,3 +64,19 @@ def test_repeated_rows_repeated_ids_and_null_ids(spark):
     want = {(r["doc_id"], r["size"]): int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(frame(odd)).collect()}
     assert mixed == Counter({(i, t): want[i, len(t.split())] for i, t, *_ in odd if want[i, len(t.split())]})
     assert len({want[7, 80], want[7, 30]}) == 2
+
+
+def test_columns_with_clashing_names_pass_untouched(spark):
+    """Columns named as the stages name their own keep their values, in their places."""
+    names = ["_none", "_hash", "_row", "_times", "_time", "key", "hash", "id", "n", "row", "_id", "_nr", "_again", "size", "taken", "set_id", "root", "kept", "times", "digest"]
+    texts = ["some words in a row", "some Words in a row", "another text with other words", "yet another of them with more words in it"]
+    rows = [(i, t, "en", "a" if i % 2 else None, len(t), *[1000 * i + k for k in range(len(names))]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names))
+    whole = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == names, name
+        left = {tuple(r) for r in docs.collect()}
+        assert left and left <= whole, name
+    assert {r[0] for r in left} <= {1, 2, 3}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
