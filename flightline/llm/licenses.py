@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Hashable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Hashable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from flightline.llm.common import stored
 from flightline.llm.licence_texts import PASSAGES
 
 THRESHOLD = 0.8
-SPLIT = r"[^a-z0-9.]+"
+WORD = "[a-z0-9](?:[a-z0-9.]*[a-z0-9])?"
 #: Short statements by which texts name a licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -25,8 +24,7 @@ TEMPLATES = {
 }
 #: These statements with the headers and licence texts.
 LICENCES = {n: ((TEMPLATES[n],) if n in TEMPLATES else ()) + PASSAGES.get(n, ()) for n in sorted({*TEMPLATES, *PASSAGES})}
-SPAN = 256  # words of a piece
-STEMS = ("licen", "permission", "redistribut", "creative commons")
+SPAN = 512  # windows that start in one piece of a file
 
 
 def weights(templates: Mapping[Hashable, str]) -> tuple[dict[str, float], float, dict[Hashable, dict[str, float]]]:
@@ -45,79 +43,82 @@ def weights(templates: Mapping[Hashable, str]) -> tuple[dict[str, float], float,
     return idf, 1 + math.log(1 + len(bags)), units
 
 
-def possible(t: Column, units: Mapping[Hashable, Mapping[str, float]], threshold: float) -> Column:
-    """Whether the cosine of ``t`` with some template can reach ``threshold``: it is at most the length of the template's part in the terms found."""
-    mass = [sum((F.when(F.contains(t, F.lit(w)), F.lit(x * x)).otherwise(F.lit(0.0)) for w, x in sorted(u.items())), F.lit(0.0)) for u in units.values()]
-    return (F.greatest(*mass) if len(mass) > 1 else mass[0]) >= threshold * threshold - 1e-6
-
-
 def words(text: str) -> list[str]:
-    return [w for w in (x.strip(".") for x in re.split(SPLIT, text.lower())) if w]
-
-
-def literal(pairs: Sequence[tuple[str, str]]) -> str:
-    """A map as SQL: one call instead of one for every entry."""
-    return f"map({', '.join(f'{k}, {v}' for k, v in pairs)})"
-
-
-def anchors(bag: Sequence[str], unit: Mapping[str, float], threshold: float) -> list[int]:
-    """Places of a template's heaviest terms, at least three; windows without any of these terms can't reach ``threshold``."""
-    chosen, mass = set(), 0.0
-    for w, x in sorted(unit.items(), key=lambda v: (-v[1], v[0])):
-        if len(chosen) >= 3 and mass > 1 - threshold * threshold + 1e-6:
-            break
-        chosen.add(w)
-        mass += x * x
-    return [i for i, w in enumerate(bag) if w in chosen]
+    return re.findall(WORD, text.lower())
 
 
 def stated(files: DataFrame, path_col: str, text_col: str, templates: Mapping[str, str | Sequence[str]], threshold: float) -> DataFrame:
-    """(path, licence, score): the best template for any window of a file, where its cosine reaches ``threshold``; ties to the name first in order.
+    """(path, licence, score): the template of the highest cosine to any window of a file, where that reaches ``threshold``; ties to the name first in order.
 
-    A file is one run of words; line ends and comment marks split nothing.  Windows have as many consecutive words as the template and are laid so that one of
-    the template's heaviest terms stands where the template has it; at the ends of a file they move inwards, and a file shorter than a template is scored whole.
-    Texts are left by a search for substrings if they hold none of ``STEMS``, and too few of the terms of each of the short statements and of each template that
-    has no such stem itself.  A cosine is at most the length of the template's part in a window's terms.  Equal windows of one path are one.
+    A file is one run of words; line ends and comment marks split nothing.  Windows are all runs of as many consecutive words as the template has; a file shorter
+    than a template is scored whole.  Files are cut into pieces of ``SPAN`` windows.  Two bounds that hold for every template leave few windows to score: a cosine
+    is at most the length of the template's part in the terms of the piece, and at most a window's inner product with the template over the root of its summed
+    squared weights, both sums kept up word by word.  The terms of all templates travel in the plan, so their number is meant to stay in the thousands.
     """
     passages = {(n, i): p for n, t in templates.items() for i, p in enumerate([t] if isinstance(t, str) else t)}
     idf, other, units = weights(passages)
-    bags = {k: words(p) for k, p in passages.items()}
-    keys = sorted(passages)
-    bound = {k: units[k] for k in keys if passages[k] in TEMPLATES.values() or not any(s in passages[k].lower() for s in STEMS)}
-    lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    gates = [lambda t, s=s: F.contains(t, F.lit(s)) for s in STEMS] * (len(bound) < len(keys)) + [lambda t: possible(t, bound, threshold)] * bool(bound)
-    # an array of one, so that the text is put into lower case once
-    some = files.filter(F.exists(F.array(lower), lambda t: reduce(Column.__or__, [g(t) for g in gates]))).select(F.col(path_col).alias("path"), lower.alias("t"))
-    some = some.withColumn("w", F.filter(F.transform(F.split("t", SPLIT), lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")).select("path", "w")
-    # long files in pieces, each with the words around it that its windows need, as every window comes from a row that holds its piece
-    most = max(map(len, bags.values()))
-    piece = lambda c: F.slice("w", F.greatest(c * SPAN - most, F.lit(0)) + 1, SPAN + 2 * most)
-    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / SPAN).cast("int")), lambda c: F.struct((c * SPAN).alias("lo"), piece(c).alias("w")))
-    some = some.filter(F.size("w") > 0).select("path", F.size("w").alias("n"), F.explode(cuts).alias("_c")).select("path", "n", "_c.lo", "_c.w")
-    some = some.withColumn("base", F.greatest(F.col("lo") - most, F.lit(0)))
-    places: dict[str, list[str]] = {}
-    for n, k in enumerate(keys):
-        for i in anchors(bags[k], units[k], threshold):
-            places.setdefault(bags[k][i], []).append(f"struct({n + 1} AS k, {i} AS o)")
-    at = F.expr(literal([(f"'{w}'", f"array({', '.join(v)})") for w, v in sorted(places.items())]))
-    met = F.filter(F.transform("w", lambda w, i: F.struct((i + F.col("base")).alias("i"), F.try_element_at(at, w).alias("h"))),
-                   lambda x: x["h"].isNotNull() & x["i"].between(F.col("lo"), F.col("lo") + SPAN - 1))
-    laid = F.flatten(F.transform(met, lambda x: F.transform(x["h"], lambda h: F.struct(h["k"].alias("k"), (x["i"] - h["o"]).alias("from")))))
-    size = F.element_at(F.expr(f"array({', '.join(str(len(bags[k])) for k in keys)})"), F.col("k"))
-    windows = some.select("path", "n", "base", "w", F.explode(laid).alias("_l")).select("path", "n", "base", "w", "_l.k", "_l.from")
-    windows = windows.select("path", "k", F.slice("w", F.greatest(F.least("from", F.col("n") - size), F.lit(0)) - F.col("base") + 1, size).alias("s")).distinct()
-    unit = F.element_at(F.expr(f"array({', '.join(literal([(repr(w), f'{x!r}D') for w, x in sorted(units[k].items())]) for k in keys)})"), F.col("k"))
-    windows = windows.withColumn("u", unit).withColumn("d", F.array_distinct("s"))
-    shared = F.aggregate("d", F.lit(0.0), lambda m, w: m + F.pow(F.coalesce(F.try_element_at("u", w), F.lit(0.0)), 2))
-    windows = windows.filter(shared >= threshold * threshold - 1e-6)
-    known = F.expr(literal([(f"'{w}'", f"{v!r}D") for w, v in sorted(idf.items())]))
-    weight = lambda w: F.size(F.filter("s", lambda x: x == w)) * F.coalesce(F.try_element_at(known, w), F.lit(other))
-    windows = windows.withColumn("v", F.transform("d", lambda w: F.struct(weight(w).alias("x"), F.coalesce(F.try_element_at("u", w), F.lit(0.0)).alias("y"))))
-    total = lambda f: F.aggregate("v", F.lit(0.0), lambda m, e: m + f(e))
-    score = F.round(total(lambda e: e["x"] * e["y"]) / F.sqrt(total(lambda e: e["x"] * e["x"])), 9)
-    name = F.element_at(F.array(*[F.lit(k[0]) for k in keys]), F.col("k"))
-    good = windows.select("path", name.alias("licence"), score.alias("score")).filter(F.col("score") >= threshold)
-    return good.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    keys, terms = sorted(passages), sorted(idf)
+    if not terms:
+        return files.select(F.col(path_col).alias("path"), F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("score")).filter("score > 0")
+    sizes = [len(words(passages[k])) for k in keys]
+    vocabulary = F.split(F.lit(" ".join(terms)), " ")
+    weight, unit = numbers(idf[t] for t in terms), numbers(units[k].get(t, 0.0) for k in keys for t in terms)
+    size = numbers(sizes).cast("array<int>")
+    most = max(sizes)
+    least = threshold * threshold - 1e-6
+
+    w = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({WORD})"))
+    some = files.select(F.col(path_col).alias("path"), w.alias("w"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / SPAN).cast("int")),
+                       lambda c: F.struct((F.size("w") - c * SPAN).alias("left"), (c == 0).alias("first"), F.slice("w", c * SPAN + 1, SPAN + most - 1).alias("w")))
+    some = some.select("path", F.explode(F.when(F.size("w") > 0, cuts)).alias("_c")).select("path", "_c.*")
+
+    # the terms met, their numbers, and the templates of which enough is there; arrays of one give a value a name, so that it is computed once
+    met = F.transform(F.array(F.array_intersect("w", vocabulary)), lambda m: F.struct(m.alias("met"), F.transform(m, lambda x: F.array_position(vocabulary, x).cast("int") - 1).alias("ids")))
+    mass = lambda ids, k: F.aggregate(ids, F.lit(0.0), lambda m, i: m + unit[k * len(terms) + i] * unit[k * len(terms) + i])
+    able = lambda s: F.filter(F.sequence(F.lit(0), F.lit(len(keys) - 1)), lambda k: mass(s["ids"], k) >= least)
+    pairs = F.flatten(F.transform(met, lambda s: F.transform(able(s), lambda k: F.struct(k.alias("k"), size[k].alias("size"), s["met"].alias("met"), s["ids"].alias("ids")))))
+    some = some.select("path", "left", "first", "w", F.explode(pairs).alias("_p")).select("path", "left", "first", "w", "_p.*")
+    # a file shorter than the template has one window, which is the file; its later pieces, if any, none
+    some = some.withColumn("size", F.when(F.col("first"), F.least("size", "left")).otherwise(F.col("size")))
+
+    place = F.transform("w", lambda x: F.array_position("met", x).cast("int"))  # 0: no term of a template
+    gain = F.concat(F.array(F.lit(0.0)), F.transform("ids", lambda i: weight[i] * unit[F.col("k") * len(terms) + i]))
+    cost = F.concat(F.array(F.lit(other * other)), F.transform("ids", lambda i: weight[i] * weight[i]))
+    named = F.transform(F.array(F.struct(place.alias("place"), gain.alias("gain"), cost.alias("cost"))), lambda z: F.struct(
+        F.transform(z["place"], lambda p: z["gain"][p]).alias("gain"), F.transform(z["place"], lambda p: z["cost"][p]).alias("cost")))
+
+    def starts(z: Column) -> Column:
+        """Where windows start that can reach the threshold: ``gain`` and ``cost`` summed over the last ``size`` words."""
+        def step(m: Column, e: Column) -> Column:
+            moved = lambda c: m[c] + z[c][e] - F.when(e >= F.col("size"), z[c][e - F.col("size")]).otherwise(F.lit(0.0))
+            at = e - F.col("size") + 1
+            good = (at >= 0) & (moved("gain") >= (threshold - 1e-6) * F.sqrt(F.greatest(moved("cost"), F.lit(0.0))))
+            return F.struct(moved("gain").alias("gain"), moved("cost").alias("cost"), F.when(good, F.concat(m["at"], F.array(at))).otherwise(m["at"]).alias("at"))
+        ends = F.sequence(F.lit(0), F.least(F.size("w"), F.lit(SPAN - 1) + F.col("size")) - 1)
+        zero = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("at"))
+        return F.aggregate(ends, zero, step, lambda m: m["at"])
+
+    windows = F.flatten(F.transform(named, lambda z: F.transform(starts(z), lambda at: F.slice("w", at + 1, F.col("size")))))
+    some = some.select("path", "k", "met", "ids", F.explode(windows).alias("s"))
+
+    def entry(s: Column, x: Column) -> Column:
+        i = F.try_element_at("ids", F.nullif(F.array_position("met", x).cast("int"), F.lit(0)))
+        times = F.size(F.filter(s, lambda y: y == x))
+        return F.struct((times * F.coalesce(weight[i], F.lit(other))).alias("x"), F.coalesce(unit[F.col("k") * len(terms) + i], F.lit(0.0)).alias("y"))
+
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda m, e: m + f(e))
+    vector = F.transform(F.array(F.transform(F.array_distinct("s"), lambda x: entry(F.col("s"), x))),
+                         lambda v: F.round(total(v, lambda e: e["x"] * e["y"]) / F.sqrt(total(v, lambda e: e["x"] * e["x"])), 9))
+    name = F.split(F.lit("\n".join(k[0] for k in keys)), "\n")[F.col("k")]
+    good = some.select("path", name.alias("licence"), vector[0].alias("score"))
+    best = good.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score")).filter(F.col("score") >= threshold)
+
+
+def numbers(values: Iterable[float]) -> Column:
+    """A constant array from one string, which the optimizer folds."""
+    return F.split(F.lit(" ".join(repr(v) for v in values)), " ").cast("array<double>")
 
 
 def licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: Mapping[str, str | Sequence[str]] = LICENCES, threshold: float = THRESHOLD) -> DataFrame:

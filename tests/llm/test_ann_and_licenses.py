@@ -1,8 +1,11 @@
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from flightline.llm.ann import neighbours
-from flightline.llm.licenses import TEMPLATES, licences
+from flightline.llm.licenses import LICENCES, TEMPLATES, THRESHOLD, licences, stated, weights, words
 from flightline.llm.queries import QUERIES
 
 
@@ -69,3 +72,46 @@ def test_headers_whole_licences_and_wrapped_statements(spark):
     want.update({f"{k}/f": n for k, (n, _) in odd.items()})
     got = {r["path"]: (r["licence"], r["inherited_from"]) for r in licences(files).collect()}
     assert got == {p: (n, None) for p, n in want.items()}
+
+
+def plain(text, idf, other, units, bags):
+    """The best (score, licence) over every window of every template: counts, inner product and squared length moved on word by word."""
+    w, best = words(text or ""), (0.0, None)
+    for key in sorted(units):
+        u, size = units[key], min(len(bags[key]), len(w))
+        count, dot, square = Counter(), 0.0, 0.0
+        for e, x in enumerate(w):
+            for y, by in ((x, 1), (w[e - size], -1)) if e >= size else ((x, 1),):
+                f = idf.get(y, other)
+                square += f * f * ((count[y] + by) ** 2 - count[y] ** 2)
+                dot += by * f * u.get(y, 0.0)
+                count[y] += by
+            if e >= size - 1 and dot > 0:
+                score = round(dot / math.sqrt(square), 9)
+                if score > best[0] + 1e-9 or abs(score - best[0]) <= 1e-9 and best[1] and key[0] < best[1]:
+                    best = (score, key[0])
+    return best if best[0] >= THRESHOLD else None
+
+
+def test_statements_equal_a_plain_cosine_of_all_windows(spark):
+    from flightline.llm.licence_texts import PASSAGES
+    docs = [(str(r["doc_id"]), r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    mit, bsd = PASSAGES["MIT"][0], PASSAGES["BSD-3-Clause"][0]
+    reworded = mit.replace("ermission", "llowance").replace("sublicense", "relet")
+    docs += [("reworded", reworded), ("deep", "some words of a text " * 500 + reworded + " and so on" * 700), ("edge", "word " * 505 + bsd + " word" * 511), ("both", mit + "\n" + bsd),
+             ("half", mit[:len(mit) // 2]), ("stop", "the of and to or in software " * 400), ("dots", "... a.b ..c.. 4.0. " * 300), ("null", None), ("empty", "")]
+    passages = {(n, i): p for n, t in LICENCES.items() for i, p in enumerate(t)}
+    idf, other, units = weights(passages)
+    bags = {k: words(p) for k, p in passages.items()}
+    want = {k: plain(t, idf, other, units, bags) for k, t in docs}
+    got = {r["path"]: (r["score"], r["licence"]) for r in stated(spark.createDataFrame(docs, "path string, text string"), "path", "text", LICENCES, THRESHOLD).collect()}
+    assert {k for k, v in want.items() if v} == set(got) and {"reworded", "deep", "edge", "both"} <= set(got)
+    for k, (score, licence) in got.items():
+        assert abs(score - want[k][0]) < 2e-9 and licence == want[k][1]
+
+
+def test_licence_ties_and_no_templates(spark):
+    files = spark.createDataFrame([("x/a", "one two three"), ("x/b", None)], "path string, text string")
+    same = {"B": "one two three", "A": "one two three"}
+    assert {r["path"]: (r["licence"], r["inherited_from"]) for r in licences(files, templates=same).collect()} == {"x/a": ("A", None), "x/b": ("A", "x")}
+    assert [r["licence"] for r in licences(files, templates={}).collect()] == [None, None]
