@@ -80,12 +80,44 @@ def people_at(moments: DataFrame, samples: DataFrame, keys: Sequence[str], momen
     near = point_in_interval(usable, spans.select(*keys, *moment, F.col(t).alias("_at"), "_lo", "_hi"), keys, "t", "_lo", "_hi", reach)
     cols = [c for c in samples.columns if c not in (*keys, person)]
     best = near.groupBy(*moment, person).agg(F.min_by(F.struct(*cols), F.struct(F.abs(F.col("t") - F.col("_at")).alias("d"), "t")).alias("_b"))
-    rows = best.select(*moment, person, "_b.*")
+    return could_shoot(best.select(*moment, person, "_b.*"), hands_up)
+
+
+def could_shoot(rows: DataFrame, hands_up: bool) -> DataFrame:
+    """Without those who straddle with hands down; with ``hands_up`` only those with hands up."""
     up = F.coalesce(F.col("lift") > 0, F.lit(False))
     rows = rows.filter(~(F.coalesce(F.col("side") == 0, F.lit(False)) & ~up))
     return rows.filter(up) if hands_up else rows
 
 
+def walk_back_among(flights: DataFrame, samples: DataFrame, keys: Sequence[str], shot: Sequence[str], reach: float = 90.0, back: float = 1.2, step: float = 1 / 60,
+                    near: float = 0.25, hands_up: bool = False, order: str = "seq") -> DataFrame:
+    """``walk_back`` with people who move: at every step each person stands where their sample nearest to that moment, at most ``near`` off, shows them.
+
+    ``samples``: keys, person, t, ``order``, gap, lift, side, px1..py2; of equally near samples the earlier, of one moment the first by ``order``.  A sample serves the moments up to half way to
+    its neighbours, so it meets only its own steps; a step meets one sample of each person, whatever the sampling rate.
+    """
+    steps = int(back / step)
+    never = samples.groupBy(*keys, "person").agg(F.min("gap").alias("_g")).filter(F.coalesce("_g", F.lit(99.0)) > NEVER_HELD)
+    seen = samples.join(never, [*keys, "person"], "left_anti")
+    arcs = flights.select(*keys, *shot, "release_t", "t0", "a", "b", "c", "d", "e", (F.col("release_t") - back - near).alias("_lo"), (F.col("release_t") + near).alias("_hi"))
+    rows = point_in_interval(seen, arcs, keys, "t", "_lo", "_hi", back + 2 * near)
+    w = Window.partitionBy(*shot, "person").orderBy("t", order)
+    rows = rows.withColumn("_before", F.lag("t").over(w)).filter("_before IS NULL OR _before < t")  # of samples of one moment the first
+    rows = rows.withColumns({"_before": F.lag("t").over(w), "_after": F.lead("t").over(w)})
+    number = lambda t: (F.col("release_t") - t) / step
+    first = F.greatest(F.floor(number(F.least(F.col("t") + near, (F.col("t") + F.col("_after")) / 2))) - 1, F.lit(1))
+    last = F.least(F.ceil(number(F.greatest(F.col("t") - near, (F.col("t") + F.col("_before")) / 2))) + 1, F.lit(steps))
+    rows = rows.withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)))).withColumn("_t", F.col("release_t") - F.col("_k") * step)
+    off = lambda c: F.abs(F.col(c) - F.col("_t"))
+    rows = rows.filter((off("t") <= near) & F.coalesce(off("t") < off("_before"), F.lit(True)) & F.coalesce(off("t") <= off("_after"), F.lit(True)))
+    rows = could_shoot(rows, hands_up).withColumns({"_x": arc_x(F.col("_t")), "_y": arc_y(F.col("_t"))})
+    rows = rows.withColumn("_d", box_distance(F.col("_x"), F.col("_y"), F.col("px1"), F.col("py1"), F.col("px2"), F.col("py2"))).filter(F.col("_d") <= reach)
+    best = rows.groupBy(*shot).agg(F.min(F.struct(F.col("_k").alias("k"), F.col("person").alias("person"), F.col("_t").alias("t"), F.col("_x").alias("x"),
+                                                  F.col("_y").alias("y"), F.col("_d").alias("dist"))).alias("_b"))
+    return best.select(*shot, F.col("_b.k").alias("steps"), "_b.person", "_b.t", "_b.x", "_b.y", "_b.dist")
+
+
 def walk_back(flights: DataFrame, people: DataFrame, shot: Sequence[str], reach: float = 90.0, back: float = 1.2, step: float = 1 / 60) -> DataFrame:
     """Run each parabola backwards until it comes within reach of someone's outline; the first such step wins."""
     steps = int(back / step)

@@ -98,13 +98,21 @@ ppl AS (SELECT mark, site AS person, x-w AS px1, y-w*3 AS py1, x+w AS px2, y+w*3
 fl AS (SELECT marks.video, mark, mt/3600.0::DOUBLE AS rt, x AS e, y AS c, w*20 AS d FROM marks JOIN det ON det.seq=mark)"""
 
 
-@query("a07_walk_back", f"""WITH {FLIGHT}, st AS (SELECT fl.mark, person, i AS k, (rt-i*(1.0::DOUBLE/60.0::DOUBLE))-rt AS tt, d, e, c, px1, py1, px2, py2 FROM fl JOIN ppl USING (mark), (SELECT unnest(range(1, 73)) AS i)),
-xy AS (SELECT *, d*tt+e AS x, 30*tt*tt-40*tt+c AS y FROM st),
-h AS (SELECT mark, person, k, x, y, sqrt(pow(greatest(px1-x, 0, x-px2), 2)+pow(greatest(py1-y, 0, y-py2), 2)) AS dist FROM xy),
+@query("a07_walk_back", f"""WITH {FLIGHT}, st AS (SELECT fl.*, i AS k, rt-i*(1.0::DOUBLE/60.0::DOUBLE) AS tk FROM fl, (SELECT unnest(range(1, 73)) AS i)),
+nr AS (SELECT st.mark, k, tk-rt AS tt, d, e, c, s.site AS person, s.x-s.w AS px1, s.y-s.w*3 AS py1, s.x+s.w AS px2, s.y+s.w*3 AS py2, s.side, s.lift,
+  row_number() OVER (PARTITION BY st.mark, k, s.site ORDER BY abs(s.t/3600.0::DOUBLE-tk), s.t, s.seq) AS n
+  FROM st JOIN s USING (video) WHERE abs(s.t/3600.0::DOUBLE-tk)<=12 AND (s.video, s.site) NOT IN (SELECT (video, site) FROM nv)),
+xy AS (SELECT *, d*tt+e AS x, 30*tt*tt-40*tt+c AS y FROM nr WHERE n=1 AND NOT (coalesce(side=0, false) AND NOT lift>0)),
+h AS (SELECT mark, person, k, sqrt(pow(greatest(px1-x, 0, x-px2), 2)+pow(greatest(py1-y, 0, y-py2), 2)) AS dist FROM xy),
 b AS (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY k, person) AS rk FROM h WHERE dist<=90) SELECT mark, k AS steps, person, round(dist, 3) AS dist FROM b WHERE rk=1""")
 def a07(spark, sf):
-    _, fl, ppl = shot_inputs(spark, sf)
-    return at.walk_back(fl, ppl, ["mark"]).select("mark", F.col("steps").cast("long").alias("steps"), "person", r(F.col("dist"), 3).alias("dist"))
+    """Hours for seconds, as sightings are hours apart; people are looked up again at every step."""
+    _, fl, _ = shot_inputs(spark, sf)
+    seen = samples(spark, sf).filter("site <> 'purchase'").select(
+        "video", F.col("site").alias("person"), "seq", (F.col("t") / HOUR).alias("t"), "gap", "lift", "side", (F.col("x") - F.col("w")).alias("px1"),
+        (F.col("y") - F.col("w") * 3).alias("py1"), (F.col("x") + F.col("w")).alias("px2"), (F.col("y") + F.col("w") * 3).alias("py2"))
+    out = at.walk_back_among(fl, seen, ["video"], ["mark"], near=12.0)
+    return out.select("mark", F.col("steps").cast("long").alias("steps"), "person", r(F.col("dist"), 3).alias("dist"))
 
 
 @query("b06_attribution")
