@@ -132,12 +132,16 @@ def walk_back(flights: DataFrame, people: DataFrame, shot: Sequence[str], reach:
     return best.select(*shot, F.col("_b.k").alias("steps"), "_b.person", "_b.t", "_b.x", "_b.y", "_b.dist")
 
 
-def attribute(shots: DataFrame, flights: DataFrame, people: DataFrame, cands: DataFrame, shot: Sequence[str]) -> DataFrame:
+def attribute(shots: DataFrame, flights: DataFrame, people: DataFrame, cands: DataFrame, shot: Sequence[str], samples: DataFrame | None = None,
+              caps: DataFrame | None = None, keys: Sequence[str] = (), near_s: float = 0.25, cap_s: float = 0.35) -> DataFrame:
     """Pick the shooter and say how: the arc's origin, walking the arc back, or the release shape.
 
     ``flights``: shot, release_t, release_x, release_y and fit.  ``people``: shot, person, box px1..py2, up (hands up),
     turn (wrists toward the hoop +/-, null unreadable), face (cosine to the hoop, null unreadable).  ``cands``: shot,
     person, rank.  People with hands up are tried first, everyone only for shots that leaves without an answer.
+    With ``samples`` (as for ``walk_back_among``) people are looked up again at every step back, else they stand as in ``people``.
+    With ``caps`` (keys, t, x, y, cap, w) a pick farther than ``REACH`` gives way to a cap at the release: ``how`` is "cap", ``person`` null, ``cap`` its id.
+    Both need ``keys`` in ``flights``.
     """
     k = list(shot)
     near = flights.join(people, k).withColumn(
@@ -158,15 +162,26 @@ def attribute(shots: DataFrame, flights: DataFrame, people: DataFrame, cands: Da
         score = F.col("d") - F.coalesce(F.col("face"), F.lit(0.0)) * FACE_PULL
         arc = mine.withColumn("_s", score).groupBy(*k).agg(F.min(F.struct(F.col("_s").alias("s"), F.col("person").alias("person"), F.col("d").alias("d"))).alias("_b"))
         arc = arc.join(open_flights.select(*k), k, "left_semi").select(*k, "_b.person", F.col("_b.d").alias("dist"), F.lit("arc").alias("how"))
+        arc = arc.join(flights.select(*k, F.col("release_t").alias("t"), F.col("release_x").alias("x"), F.col("release_y").alias("y")), k)
         rest = open_flights.join(arc.select(*k), k, "left_anti")
-        back = walk_back(rest, people.filter("up") if only_up else people, k, REACH).select(*k, "person", "dist", F.lit("walked back").alias("how"))
+        if samples is None:
+            back = walk_back(rest, people.filter("up") if only_up else people, k, REACH)
+        else:
+            back = walk_back_among(rest, samples, keys, k, REACH, near=near_s, hands_up=only_up)
+        back = back.select(*k, "person", "dist", F.lit("walked back").alias("how"), "t", "x", "y")
         found = cut(arc.unionByName(back))
         answers.append(found)
         open_flights = cut(open_flights.join(found.select(*k), k, "left_anti"))
     by_arc = reduce(DataFrame.unionByName, answers)
+    if caps is not None:
+        origins = by_arc.join(flights.select(*keys, *k), k).select(*keys, *k, "t", "x", "y", F.col("dist").alias("wrist"))
+        capped = cut(cap_fallback(origins, caps, keys, k, cap_s).withColumnRenamed("dist", "_cap_dist"))
+        by_arc = by_arc.join(capped, k, "left").withColumns({
+            "person": F.when(F.col("cap").isNull(), F.col("person")), "dist": F.coalesce("_cap_dist", "dist"), "how": F.when(F.col("cap").isNull(), F.col("how")).otherwise("cap")})
+    by_arc = by_arc.drop("t", "x", "y", "_cap_dist")
     by_release = cands.filter("rank = 1").select(*k, "person", F.lit(None).cast("double").alias("dist"), F.lit("release").alias("how"))
     by_release = by_release.join(by_arc.select(*k), k, "left_anti")
-    return shots.select(*k).join(by_arc.unionByName(by_release), k, "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    return shots.select(*k).join(by_arc.unionByName(by_release, allowMissingColumns=True), k, "left").withColumn("how", F.coalesce("how", F.lit("none")))
 
 
 def cap_fallback(origins: DataFrame, caps: DataFrame, keys: Sequence[str], shot: Sequence[str], near_s: float = 0.35, widths: float = 5.0,

@@ -91,6 +91,13 @@ def shot_inputs(spark, sf):
     return m, fl, ppl
 
 
+def moving_people(spark, sf) -> DataFrame:
+    """Everyone's sightings with boxes, time in hours."""
+    return samples(spark, sf).filter("site <> 'purchase'").select(
+        "video", F.col("site").alias("person"), "seq", (F.col("t") / HOUR).alias("t"), "gap", "lift", "side", (F.col("x") - F.col("w")).alias("px1"),
+        (F.col("y") - F.col("w") * 3).alias("py1"), (F.col("x") + F.col("w")).alias("px2"), (F.col("y") + F.col("w") * 3).alias("py2"))
+
+
 FLIGHT = f"""{HANDS}, {MARKS}, s AS (SELECT *, CASE WHEN seq%7<>0 THEN seq%3-1 END AS side FROM ser WHERE site<>'purchase'),
 nv AS (SELECT video, site FROM s GROUP BY ALL HAVING min(gap)>4),
 j AS (SELECT mark, s.*, row_number() OVER (PARTITION BY mark, site ORDER BY abs(t-mt), t) AS k FROM marks JOIN s USING (video) WHERE abs(t-mt)<=43200 AND (video, site) NOT IN (SELECT (video, site) FROM nv)),
@@ -108,9 +115,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY k, person) AS rk F
 def a07(spark, sf):
     """Hours for seconds, as sightings are hours apart; people are looked up again at every step."""
     _, fl, _ = shot_inputs(spark, sf)
-    seen = samples(spark, sf).filter("site <> 'purchase'").select(
-        "video", F.col("site").alias("person"), "seq", (F.col("t") / HOUR).alias("t"), "gap", "lift", "side", (F.col("x") - F.col("w")).alias("px1"),
-        (F.col("y") - F.col("w") * 3).alias("py1"), (F.col("x") + F.col("w")).alias("px2"), (F.col("y") + F.col("w") * 3).alias("py2"))
+    seen = moving_people(spark, sf)
     out = at.walk_back_among(fl, seen, ["video"], ["mark"], near=12.0)
     return out.select("mark", F.col("steps").cast("long").alias("steps"), "person", r(F.col("dist"), 3).alias("dist"))
 
@@ -120,8 +125,9 @@ def b06(spark, sf):
     m, fl, ppl = shot_inputs(spark, sf)
     cands = at.candidates(hand_series(spark, sf), PEOPLE, ["video"]).filter("rank = 1").select("video", F.col("site").alias("person"), "rank")
     cands = m.select("video", "mark").join(cands, "video").select("mark", "person", "rank")
-    out = at.attribute(m.select("mark"), fl.drop("video"), ppl, cands, ["mark"])
-    return out.select("mark", "person", r(F.col("dist"), 2).alias("dist"), "how")
+    caps = detections(spark, sf).filter("site = 'click'").select("video", F.col("seq").alias("cap"), (F.col("t") / HOUR).alias("t"), "x", "y", "w")
+    out = at.attribute(m.select("mark"), fl, ppl, cands, ["mark"], moving_people(spark, sf), caps, ["video"], near_s=12.0, cap_s=12.0)
+    return out.select("mark", "person", "cap", r(F.col("dist"), 2).alias("dist"), "how")
 
 
 @query("b07_cap_fallback", f"""WITH {DET}, o AS (SELECT seq AS shot, video, t, x, y, CASE WHEN seq%3<>0 THEN y END AS wrist FROM det WHERE site='purchase'),

@@ -44,3 +44,22 @@ def test_walk_back_among_moving_people(spark):
         assert got == {k: (v[0], v[1], round(v[2], 6)) for k, v in want.items() if v}
         assert len(got) > 5
     assert at.walk_back_among(fl, sm.limit(0), ["video"], ["shot"]).collect() == []
+
+
+def test_attribute_with_moving_people_and_caps(spark):
+    arc = (10.0, 10.0, 0.0, 0.0, 300.0, 100.0, 500.0)  # level flight to the right: x = 500 + 100 (t - 10)
+    fl = spark.createDataFrame([(1, i, 500.0, 300.0, *arc) for i in range(1, 4)] + [(2, 4, 500.0, 300.0, *arc)],
+                               "video int, mark int, release_x double, release_y double, release_t double, t0 double, a double, b double, c double, d double, e double")
+    # shot 1 has someone at the release, shot 2 someone too far with a cap there, shot 3 and 4 nobody; in video 1 "w" swims into the arc's past
+    ppl = spark.createDataFrame([(1, "n", 480.0, 280.0, 520.0, 320.0, True, None, None), (2, "f", 300.0, 280.0, 320.0, 320.0, True, None, None)],
+                                "mark int, person string, px1 double, py1 double, px2 double, py2 double, up boolean, turn double, face double")
+    samples = spark.createDataFrame([(1, "w", 9.2, 1, 0.5, 1.0, 1, 300.0, 250.0, 330.0, 350.0), (1, "w", 10.0, 2, 0.5, 1.0, 1, 0.0, 0.0, 10.0, 10.0)],
+                                    "video int, person string, t double, seq long, gap double, lift double, side int, px1 double, py1 double, px2 double, py2 double")
+    caps = spark.createDataFrame([(1, 7, 10.1, 510.0, 300.0, 30.0)], "video int, cap int, t double, x double, y double, w double")
+    cands = spark.createDataFrame([(4, "r", 1)], "mark int, person string, rank int")
+    shots = spark.createDataFrame([(i,) for i in range(1, 6)], "mark int")
+    out = at.attribute(shots, fl, ppl, cands, ["mark"], samples, caps, ["video"])
+    got = {r["mark"]: (r["person"], r["cap"], r["how"]) for r in out.collect()}
+    assert got[1] == ("n", None, "arc") and got[2] == (None, 7, "cap") and got[4] == ("r", None, "release") and got[5] == (None, None, "none")
+    # x at 9.2 is 420, 90 from the box of "w" there: found only where "w" was then
+    assert got[3] == ("w", None, "walked back")
