@@ -13,7 +13,7 @@ from flightline.operators import models as md
 from flightline.operators import sweeps as sw
 from flightline.operators.blocks import Series, running
 from flightline.operators.quantiles import quantiles
-from flightline.operators.scoring import one
+from flightline.operators.scoring import one, rank_auc
 from flightline.plans.attribution_queries import HANDS, PEOPLE, hand_series
 from flightline.plans.event_queries import FEATS, G, KEYS, WIDTH, gated, run_points
 from flightline.plans.feature_queries import run_features
@@ -225,15 +225,20 @@ def e27(spark, sf):
     return judged_docs(spark, sf).select("doc_id", r(p).alias("p"))
 
 
-@query("e29_blend", f"""WITH {JD}, w AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS weight), b AS (SELECT weight, quality=1 AS y, p>=0.5 AS a, net>=0.5 AS b, weight*p+(1-weight)*net>=0.5 AS m FROM jd, w)
-SELECT weight, round(avg((m=y)::INT), 6) AS accuracy, count(*) FILTER (a=b) AS agree, count(*) FILTER (a=y AND b=y) AS both_right, count(*) FILTER (a<>y AND b=y) AS saves FROM b GROUP BY weight""")
+@query("e29_blend", f"""WITH {JD}, w AS (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS weight), b AS (SELECT weight, quality=1 AS y, p>=0.5 AS a, net>=0.5 AS b, weight*p+(1-weight)*net>=0.5 AS m, weight*p+(1-weight)*net AS s FROM jd, w),
+ v AS (SELECT weight, s, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM b GROUP BY weight, s),
+ t AS (SELECT weight, pos, neg, coalesce(sum(neg) OVER (PARTITION BY weight ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v),
+ u AS (SELECT weight, round(sum(pos*(below+neg/2.0::DOUBLE))/(sum(pos)*sum(neg))::DOUBLE, 6) AS auc FROM t GROUP BY weight)
+SELECT weight, round(avg((m=y)::INT), 6) AS accuracy, count(*) FILTER (a=b) AS agree, count(*) FILTER (a=y AND b=y) AS both_right, count(*) FILTER (a<>y AND b=y) AS saves, (SELECT auc FROM u WHERE u.weight=b.weight) AS auc FROM b GROUP BY weight""")
 def e29(spark, sf):
     d = judged_docs(spark, sf)
     y, a, b = F.col("y") == 1, F.col("p") >= 0.5, F.col("net") >= 0.5
     rows = d.withColumn("weight", F.explode(F.array(*[F.lit(v) for v in (0.3, 0.5, 0.7)])))
-    m = F.col("weight") * F.col("p") + (1 - F.col("weight")) * F.col("net") >= 0.5
+    rows = rows.withColumn("s", F.col("weight") * F.col("p") + (1 - F.col("weight")) * F.col("net"))
+    m = F.col("s") >= 0.5
+    auc = rank_auc(rows, "s", y, 1 / 256, ["weight"]).select("weight", r(F.col("auc")).alias("auc"))
     return rows.groupBy("weight").agg(r(F.avg(one(m == y))).alias("accuracy"), F.count_if(a == b).alias("agree"), F.count_if((a == y) & (b == y)).alias("both_right"),
-                                      F.count_if((a != y) & (b == y)).alias("saves"))
+                                      F.count_if((a != y) & (b == y)).alias("saves")).join(auc, "weight")
 
 
 @query("e30_equivariance", f"""WITH {RIG}, s AS (SELECT unnest([-4, -2, 2, 4])::DOUBLE AS shift), c AS (SELECT shift, abs(x+shift*0.9-(rx1+shift)) AS d_target, abs(x+shift*0.9-rx2) AS d_centre FROM rig, s)
@@ -290,6 +295,14 @@ def e24(spark, sf):
         F.abs("coefficient").desc(), "feature").limit(8)
 
 
+@query("e29_stack")
+def e29_stack(spark, sf):
+    """Accuracy and AUC of both views and of their stack, which never sees the rows it is judged on."""
+    d = cut(md.stacked(judged_docs(spark, sf).withColumn("y", one(F.col("y") == 1).cast("double")), ["doc_id"], ["p", "net"]))
+    views = d.select("y", F.explode(F.create_map(*[v for c in ("p", "net", "stack") for v in (F.lit(c), F.col(c))])).alias("view", "s"))
+    return md.scores(views, ["view"], p="s").select("view", "n", r(F.col("accuracy"), 4).alias("accuracy"), r(F.col("auc"), 4).alias("auc"))
+
+
 @query("e25_held_out")
 def e25(spark, sf):
     return md.scores(md.held_out(model_rows(spark, sf), "site", md.logistic), ["site"])
