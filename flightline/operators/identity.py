@@ -27,11 +27,12 @@ def calibrate(samples: DataFrame, name: Sequence[str]) -> DataFrame:
 def classify(obs: DataFrame, refs: DataFrame, name: str = "name") -> DataFrame:
     """Nearest reference and the margin to the runner-up.
 
-    A palette is a handful of colours; its size is checked, and it becomes constants of one generated expression.
+    A palette is a handful of colours; its size is checked, and up to ``MAX_REFS`` become constants of one generated expression.  A larger one
+    enters as one array; the results are the same.
     """
     palette = refs.select(name, "h", "s", "v").orderBy(name).limit(MAX_REFS + 1).collect()
     if len(palette) > MAX_REFS:
-        raise ValueError(f"more than {MAX_REFS} reference colours")
+        return classify_by_array(obs, refs, name)
     if not palette:
         return obs.withColumns({"match": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     scored = [F.struct(color.color_distance(F.col("h"), F.col("s"), F.col("v"), F.lit(p["h"]), F.lit(p["s"]), F.lit(p["v"])).alias("d"),
@@ -46,6 +47,15 @@ def classify(obs: DataFrame, refs: DataFrame, name: str = "name") -> DataFrame:
         "_best", *[f"_r{i}" for i in range(len(scored))])
 
 
+def classify_by_array(obs: DataFrame, refs: DataFrame, name: str = "name") -> DataFrame:
+    """``classify`` for palettes of any size that fit into one row."""
+    palette = refs.agg(F.collect_list(F.struct(F.col(name).alias("name"), "h", "s", "v")).alias("_p")).select("_p").scalar()
+    distance = lambda p: F.struct(color.color_distance(F.col("h"), F.col("s"), F.col("v"), p["h"], p["s"], p["v"]).alias("d"), p["name"].alias("name"))
+    rows = obs.withColumn("_p", palette).withColumn("_d", F.transform("_p", distance)).withColumn("_best", F.array_min("_d"))
+    second = F.array_min(F.transform(F.filter("_d", lambda s: s != F.col("_best")), lambda s: s["d"]))
+    return rows.withColumns({"match": F.col("_best.name"), "confidence": color.margin(F.col("_best.d"), second)}).drop("_p", "_d", "_best")
+
+
 def hue_vote(df: DataFrame, keys: Sequence[str], hue: str, order: Sequence[str]) -> DataFrame:
     """The hue most samples agree on: biggest 30-degree band (the earlier on a tie), median inside it; -1 for white."""
     k = list(keys)

@@ -44,11 +44,13 @@ def landing_points(labels: DataFrame, hits: DataFrame, keys: Sequence[str], labe
     return last.select(*label_id, "_p.*")
 
 
-def landing_summary(offsets: DataFrame, by: str, axes: Mapping[str, str]) -> DataFrame:
-    """Median and population deviation per group and pooled under ``(all)``."""
-    both = offsets.select(F.explode(F.array(F.col(by), F.lit("(all)"))).alias(by), *axes.values())
-    sd = both.groupBy(by).agg(F.count("*").alias("n"), *[F.round(F.stddev_pop(c), 6).alias(f"{n}_sd") for n, c in axes.items()])
+def landing_summary(offsets: DataFrame, by: Sequence[str], axes: Mapping[str, str]) -> DataFrame:
+    """Median and population deviation per group, then with the leading columns of ``by`` pooled one after the other under ``(all)``."""
+    pooled = F.lit("(all)")
+    levels = F.array(*[F.struct(*[(pooled if i < level else F.col(c)).alias(c) for i, c in enumerate(by)]) for level in range(len(by) + 1)])
+    both = offsets.select(F.explode(levels).alias("_by"), *axes.values()).select("_by.*", *axes.values())
+    sd = both.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.stddev_pop(c), 6).alias(f"{n}_sd") for n, c in axes.items()])
     for name, c in axes.items():
-        med = quantiles(both, [by], c, {"_m": 0.5}).select(by, F.round("_m", 6).alias(f"{name}_med"))
-        sd = sd.join(med, by)
+        med = quantiles(both, by, c, {"_m": 0.5}).select(*by, F.round("_m", 6).alias(f"{name}_med"))
+        sd = sd.join(med, list(by))
     return sd

@@ -274,18 +274,18 @@ def p15(spark, sf):
                                     r(pad[0]).alias("cx1"), r(pad[2]).alias("cx2"), r(view[0]).alias("vx"), r(view[1]).alias("vy"))
 
 
-@query("p16_landing_centre", f"""WITH {DET}, {MARKS}, j AS (SELECT mark, det.site, x, y, row_number() OVER (PARTITION BY mark ORDER BY t DESC, seq DESC) AS k
+@query("p16_landing_centre", f"""WITH {DET}, {MARKS}, j AS (SELECT mark, video, det.site, x, y, row_number() OVER (PARTITION BY mark ORDER BY t DESC, seq DESC) AS k
   FROM marks JOIN det USING (video) WHERE outcome='make' AND t BETWEEN mt-25920 AND mt+138240),
-o AS (SELECT site, ((x-250)*0.8+(y-40)*0.6)/60 AS s, ((x-250)*(-0.6)+(y-40)*0.8)/60 AS d FROM j WHERE k=1)
-SELECT coalesce(site, '(all)') AS site, count(*) AS n, round(median(s), 6) AS along_med, round(stddev_pop(s), 6) AS along_sd,
-  round(median(d), 6) AS into_med, round(stddev_pop(d), 6) AS into_sd FROM o GROUP BY ROLLUP (site)""")
+o AS (SELECT video, site, ((x-250)*0.8+(y-40)*0.6)/60 AS s, ((x-250)*(-0.6)+(y-40)*0.8)/60 AS d FROM j WHERE k=1)
+SELECT coalesce(video::VARCHAR, '(all)') AS video, coalesce(site, '(all)') AS site, count(*) AS n, round(median(s), 6) AS along_med, round(stddev_pop(s), 6) AS along_sd,
+  round(median(d), 6) AS into_med, round(stddev_pop(d), 6) AS into_sd FROM o GROUP BY GROUPING SETS ((video, site), (site), ())""")
 def p16(spark, sf):
     makes = marks(spark, sf).filter(F.col("outcome") == "make")
     last = landing_points(makes, detections(spark, sf), ["video"], ["mark"], "mt", 0.3 * DAY, 1.6 * DAY, DAY)
     o = (geo.num(250), geo.num(40))
-    off = last.select("site", geo.axis_offset(F.col("x"), F.col("y"), o, (geo.num(0.8), geo.num(0.6)), 60.0).alias("s"),
+    off = last.select(F.col("video").cast("string").alias("video"), "site", geo.axis_offset(F.col("x"), F.col("y"), o, (geo.num(0.8), geo.num(0.6)), 60.0).alias("s"),
                       geo.axis_offset(F.col("x"), F.col("y"), o, (geo.num(-0.6), geo.num(0.8)), 60.0).alias("d"))
-    return landing_summary(off, "site", {"along": "s", "into": "d"})
+    return landing_summary(off, ["video", "site"], {"along": "s", "into": "d"})
 
 
 @query("a08_box_distance", f"""WITH {RIG} SELECT {ID_SQL}, round(sqrt(pow(greatest(rx1-x, 0, x-rx2), 2)+pow(greatest(ry1-y, 0, y-ry2), 2)), 6) AS dist FROM rig""")
